@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from grainmill.llm import line_dedup
+from grainmill.llm import line_dedup, near_dedup
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op10_odd_sketch_near_dedup": near_dedup.op10_odd_sketch_near_dedup,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
+    "op10_odd_sketch_near_dedup": near_dedup.SQL,
 }
