@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from grainmill.llm import line_dedup, near_dedup, suffix_dedup
+from grainmill.llm import line_dedup, near_dedup, packing, suffix_dedup
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op10_odd_sketch_near_dedup": near_dedup.op10_odd_sketch_near_dedup,
+    "op5_dp_packing": packing.op5_dp_packing,
     "op9_deep_shallow_suffix_dedup": suffix_dedup.op9_deep_shallow_suffix_dedup,
 }
 
