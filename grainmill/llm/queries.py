@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainmill.llm import line_dedup, near_dedup, packing, suffix_dedup
+from grainmill.llm import line_dedup, near_dedup, packing, secrets, suffix_dedup
 
 QUERIES = {
+    "op1_zstd_novelty_secrets": secrets.op1_zstd_novelty_secrets,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op10_odd_sketch_near_dedup": near_dedup.op10_odd_sketch_near_dedup,
     "op5_dp_packing": packing.op5_dp_packing,
