@@ -8,7 +8,8 @@
    The others are confirmed on full shingle sets, rebuilt from the texts of just the documents in question.
 4. Buckets that still hold more than one component get the remaining pairs looked at: the rows outside the bucket's
    largest component (the few) meet all rows of the bucket in blocks of bounded size, compared by odd sketch inside the
-   task; only likely links leave it and are confirmed as before. No cap on partners or candidates.
+   task. Twice only the nearest row of another component leaves the task and is confirmed as before, which joins nearly
+   all that belongs together; then all likely links that are still open. No cap on partners or candidates.
 5. Components by star contraction.
 
 A pair at the threshold shares no band with probability (1 - 0.8**4)**24 = 3e-6; more similar pairs, less.
@@ -105,7 +106,7 @@ def _odd_distance(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, odd: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, odd: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough; checkpointed."""
     near = (
         pairs.join(odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("oa")), "a")
@@ -114,16 +115,13 @@ def _confirmed(pairs: DataFrame, base: DataFrame, odd: DataFrame, width: int, pe
         .select("a", "b")
         .distinct()
     )
-    near = cut(near)
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = base.join(ids, "doc_id", "left_semi").select("doc_id", "txt").mapInPandas(_sets(width), "doc_id long, set array<long>")
     full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(full.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct())
 
 
-def _likely(most: int):
-    """Rows of (bucket, block) groups: each probe against the rows of other components, by odd sketch."""
+def _likely(most: int, nearest: bool):
+    """Rows of (bucket, block) groups: each probe against the rows of other components, by odd sketch; all likely ones, or the nearest of them."""
 
     def pairs_of(keys, ids, comps, probes, odd, nodes):
         ends = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
@@ -131,7 +129,12 @@ def _likely(most: int):
             p, m = np.flatnonzero(probes[lo:hi]) + lo, np.flatnonzero(~probes[lo:hi]) + lo
             for i in p:
                 far = m[comps[m] != comps[i]]
-                hit = far[np.bitwise_count(odd[far] ^ odd[i]).sum(axis=1) <= most]
+                bits = np.bitwise_count(odd[far] ^ odd[i]).sum(axis=1)
+                near = bits <= most
+                if nearest and near.any():
+                    near = bits == bits.min()
+                    near[np.flatnonzero(near)[1:]] = False
+                hit = far[near]
                 nodes.append(np.stack([np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])], axis=1))
 
     def run(frames):
@@ -155,7 +158,7 @@ def _likely(most: int):
     return run
 
 
-def _left_over(members: DataFrame, comps: DataFrame, odd: DataFrame, most: int) -> DataFrame:
+def _left_over(members: DataFrame, comps: DataFrame, odd: DataFrame, most: int, nearest: bool) -> DataFrame:
     """Likely pairs of a bucket that are in different components so far."""
     rows = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
@@ -166,7 +169,7 @@ def _left_over(members: DataFrame, comps: DataFrame, odd: DataFrame, most: int)
     dealt = rows.select("bucket", block.alias("block"), "id", "comp", F.lit(False).alias("probe"), "odd").union(
         rows.filter("comp <> top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "comp", F.lit(True).alias("probe"), "odd")
     )
-    return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_likely(most), "a long, b long").distinct()
+    return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_likely(most, nearest), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -181,13 +184,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("m")).filter("m > 1")
     members = banded.join(leaders, "bucket")
     members = cut(members.select("bucket", "id", "leader"))
-    star = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(star, base, odd, width, percent)
+    # Full sets of the documents that share a bucket with another: the texts are shuffled once.
+    sets = cut(base.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(width), "doc_id long, set array<long>"))
+    tested = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = _confirmed(tested, sets, odd, percent)
+    members = members.select("bucket", "id")
+    for nearest in (True, True, False):
+        more = cut(_left_over(members, cut(components(links, "a", "b")), odd, most_odd_bits(percent / 100), nearest).join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.union(_confirmed(more, sets, odd, percent))
+            tested = tested.union(more)
     copies = usable.join(same.filter("copies > 1").select("s1", "s2", "rep"), ["s1", "s2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comps = cut(components(links, "a", "b"))
-    more = cut(_left_over(members.select("bucket", "id"), comps, odd, most_odd_bits(percent / 100)).join(links, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(_confirmed(more, base, odd, width, percent))
     comps = components(links.union(copies), "a", "b")
     return (
         known.select("doc_id", F.col("n").alias("n_shingles"))

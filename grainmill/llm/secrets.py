@@ -67,10 +67,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
         m = CANDIDATE.search(text, max(word.end(), done), word.end() + REACH)
         if not m:
             continue
-        end = m.end()
-        while end < len(text) and CANDIDATE.fullmatch(text, m.start(), end + 1):
-            end += 1
-        done = end
+        done = end = CANDIDATE.match(text, m.start()).end()
         while at_base < len(base) and base[at_base][1] <= m.start():
             at_base += 1
         if any(a < end and m.start() < b for a, b, _ in base[at_base : at_base + 3]):
