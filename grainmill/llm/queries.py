@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from grainmill.llm import line_dedup, near_dedup, packing, secrets, suffix_dedup, toxicity
+from grainmill.llm import language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_zstd_novelty_secrets": secrets.op1_zstd_novelty_secrets,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op6_hierarchical_language_id": language_id.op6_hierarchical_language_id,
     "op10_odd_sketch_near_dedup": near_dedup.op10_odd_sketch_near_dedup,
     "op3_cnn_toxicity": toxicity.op3_cnn_toxicity,
     "op5_dp_packing": packing.op5_dp_packing,
