@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainmill.llm import language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup, toxicity
+from grainmill.llm import decontaminate, language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_zstd_novelty_secrets": secrets.op1_zstd_novelty_secrets,
@@ -10,11 +10,13 @@ QUERIES = {
     "op6_hierarchical_language_id": language_id.op6_hierarchical_language_id,
     "op10_odd_sketch_near_dedup": near_dedup.op10_odd_sketch_near_dedup,
     "op3_cnn_toxicity": toxicity.op3_cnn_toxicity,
+    "op4_containment_decontamination": decontaminate.op4_containment_decontamination,
     "op5_dp_packing": packing.op5_dp_packing,
     "op9_deep_shallow_suffix_dedup": suffix_dedup.op9_deep_shallow_suffix_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_containment_decontamination": decontaminate.SQL,
     "op2_line_dedup": line_dedup.SQL,
     "op10_odd_sketch_near_dedup": near_dedup.SQL,
 }
