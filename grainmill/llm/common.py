@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids of at most so many bytes may go to every task; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def checked_broadcast(ids: DataFrame, most_bytes: int = BROADCAST_BYTES, row_bytes: int = 16) -> DataFrame:
+    """A table of ids, marked for broadcast if its counted rows are few enough; cut, since it is counted and then used."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() * row_bytes <= most_bytes else ids
+
+
 def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

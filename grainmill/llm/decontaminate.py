@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import WordHashes, as_long, cut, mix, shingle_hashes
+from grainmill.llm.common import WordHashes, as_long, checked_broadcast, cut, mix, shingle_hashes
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BYTES = 64 << 20
@@ -138,7 +138,7 @@ def contained_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that contain no item, with all their columns."""
     hit = contained_items(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col].cast("long") == hit["__hit"], "left_anti")
+    return docs.join(checked_broadcast(hit), F.col(id_col).cast("long") == F.col("__hit"), "left_anti")
 
 
 def op4_containment_decontamination(spark, sf_dir: str) -> DataFrame:
