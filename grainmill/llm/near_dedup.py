@@ -5,7 +5,8 @@
 2. Documents with equal sets are one node: only the smallest id of a signature goes on (aggregated before the shuffle).
 3. In every band bucket each document is paired with the bucket's smallest id only, never with all others. The XOR of
    two odd sketches has a bit count from which their similarity is estimated; pairs clearly below the threshold go.
-   The others are confirmed on full shingle sets, rebuilt from the texts of just the documents in question.
+   The others are confirmed on full shingle sets, rebuilt from the texts of just the documents that share a bucket; an
+   odd sketch of the full set, whose bit count can't exceed the sets' difference, spares most of these comparisons.
 4. Buckets that still hold more than one component get the remaining pairs looked at: the rows outside the bucket's
    largest component (the few) meet all rows of the bucket in blocks of bounded size, compared by odd sketch inside the
    task. Twice only the nearest row of another component leaves the task and is confirmed as before, which joins nearly
@@ -26,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import U64, WordHashes, as_long, cut, mix, shingle_hashes, utf8
+from grainmill.llm.common import U64, WordHashes, as_long, checked_broadcast, cut, mix, shingle_hashes, utf8
 from grainmill.llm.graph import components
 
-BANDS, ROWS, BITS = 24, 4, 512
+BANDS, ROWS, BITS, FULL_BITS = 24, 4, 512, 1024
 SAMPLES = BANDS * ROWS
 BLOCK = 512
 #: Stands for a null id inside the operator.
@@ -93,11 +94,18 @@ def _sketches(width: int):
     return run
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The odd sketch of the whole set: two sets differ in at least as many shingles as their bitmaps differ in bits."""
+    bits = np.bincount((mix(shingles + U64(11)) % U64(FULL_BITS)).astype(np.int64), minlength=FULL_BITS).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def _sets(width: int):
     def run(frames):
         cache = WordHashes()
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "set": [as_long(doc_shingles(t, width, cache)) for t in frame["txt"]]})
+            sets = [doc_shingles(t, width, cache) for t in frame["txt"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(s) for s in sets], "full": [as_long(parity(s)) for s in sets], "set": [as_long(s) for s in sets]})
 
     return run
 
@@ -106,12 +114,17 @@ def _odd_distance(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, odd: DataFrame, percent: int) -> DataFrame:
+def _named(traits: DataFrame, end: str) -> DataFrame:
+    return traits.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "odd", "full")])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough; checkpointed."""
     near = (
-        pairs.join(odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("oa")), "a")
-        .join(odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("ob")), "b")
-        .filter(_odd_distance("oa", "ob") <= most_odd_bits(percent / 100))
+        pairs.join(_named(traits, "a"), "a")
+        .join(_named(traits, "b"), "b")
+        .filter(_odd_distance("odd_a", "odd_b") <= most_odd_bits(percent / 100))
+        .filter((100 + percent) * _odd_distance("full_a", "full_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         .select("a", "b")
         .distinct()
     )
@@ -120,21 +133,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, odd: DataFrame, percent: int)
     return cut(full.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct())
 
 
-def _likely(most: int, nearest: bool):
-    """Rows of (bucket, block) groups: each probe against the rows of other components, by odd sketch; all likely ones, or the nearest of them."""
+def _likely(percent: int, nearest: bool):
+    """Rows of (bucket, block) groups: each probe against the rows of other components, by odd sketches; all likely ones, or the nearest of them."""
+    most = most_odd_bits(percent / 100)
 
-    def pairs_of(keys, ids, comps, probes, odd, nodes):
+    def pairs_of(keys, ids, comps, probes, odd, full, size, nodes):
         ends = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
         for lo, hi in zip(ends[:-1], ends[1:]):
             p, m = np.flatnonzero(probes[lo:hi]) + lo, np.flatnonzero(~probes[lo:hi]) + lo
             for i in p:
                 far = m[comps[m] != comps[i]]
                 bits = np.bitwise_count(odd[far] ^ odd[i]).sum(axis=1)
-                near = bits <= most
-                if nearest and near.any():
-                    near = bits == bits.min()
-                    near[np.flatnonzero(near)[1:]] = False
-                hit = far[near]
+                far = far[bits <= most]
+                # The sets differ in at least so many shingles; more than this none of the similarity can.
+                apart = np.bitwise_count(full[far] ^ full[i]).sum(axis=1)
+                near = (100 + percent) * apart <= (100 - percent) * (size[far] + size[i])
+                hit, apart = far[near], apart[near]
+                if nearest:
+                    hit = hit[apart.argmin() : apart.argmin() + 1] if len(hit) else hit
                 nodes.append(np.stack([np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])], axis=1))
 
     def run(frames):
@@ -151,25 +167,25 @@ def _likely(most: int, nearest: bool):
         if not len(f):
             return
         nodes: list = []
-        pairs_of(f[["bucket", "block"]].to_numpy(), f["id"].to_numpy(), f["comp"].to_numpy(), f["probe"].to_numpy(bool), np.stack(f["odd"].to_list()).view(np.uint64), nodes)
+        pairs_of(f[["bucket", "block"]].to_numpy(), f["id"].to_numpy(), f["comp"].to_numpy(), f["probe"].to_numpy(bool), np.stack(f["odd"].to_list()).view(np.uint64), np.stack(f["full"].to_list()).view(np.uint64), f["n"].to_numpy(), nodes)
         both = np.unique(np.concatenate(nodes), axis=0) if nodes else np.empty((0, 2), np.int64)
         yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
     return run
 
 
-def _left_over(members: DataFrame, comps: DataFrame, odd: DataFrame, most: int, nearest: bool) -> DataFrame:
+def _left_over(members: DataFrame, comps: DataFrame, traits: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Likely pairs of a bucket that are in different components so far."""
     rows = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.sum("c").alias("m"), F.count("*").alias("kinds"), F.max(F.struct("c", "comp")).alias("top")).filter((F.col("kinds") > 1) & (F.col("m") > 2))
     mixed = mixed.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "bucket").join(odd.select(F.col("doc_id").alias("id"), "odd"), "id")
+    rows = rows.join(mixed, "bucket").join(traits.withColumnRenamed("doc_id", "id"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.select("bucket", block.alias("block"), "id", "comp", F.lit(False).alias("probe"), "odd").union(
-        rows.filter("comp <> top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "comp", F.lit(True).alias("probe"), "odd")
+    dealt = rows.select("bucket", block.alias("block"), "id", "comp", F.lit(False).alias("probe"), "odd", "full", "n").union(
+        rows.filter("comp <> top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "comp", F.lit(True).alias("probe"), "odd", "full", "n")
     )
-    return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_likely(most, nearest), "a long, b long").distinct()
+    return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_likely(percent, nearest), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -184,15 +200,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("m")).filter("m > 1")
     members = banded.join(leaders, "bucket")
     members = cut(members.select("bucket", "id", "leader"))
-    # Full sets of the documents that share a bucket with another: the texts are shuffled once.
-    sets = cut(base.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(width), "doc_id long, set array<long>"))
+    # Full sets of the documents that share a bucket with another; only if these are very many are the texts shuffled, once.
+    sets = cut(base.join(checked_broadcast(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInPandas(_sets(width), "doc_id long, n long, full array<long>, set array<long>"))
+    traits = cut(sets.join(odd, "doc_id").select("doc_id", "n", "odd", "full"))
     tested = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(tested, sets, odd, percent)
+    links = _confirmed(tested, sets, traits, percent)
     members = members.select("bucket", "id")
     for nearest in (True, True, False):
-        more = cut(_left_over(members, cut(components(links, "a", "b")), odd, most_odd_bits(percent / 100), nearest).join(tested, ["a", "b"], "left_anti"))
+        more = cut(_left_over(members, cut(components(links, "a", "b")), traits, percent, nearest).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            links = links.union(_confirmed(more, sets, odd, percent))
+            links = links.union(_confirmed(more, sets, traits, percent))
             tested = tested.union(more)
     copies = usable.join(same.filter("copies > 1").select("s1", "s2", "rep"), ["s1", "s2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = components(links.union(copies), "a", "b")
@@ -203,6 +220,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest id of their component, with all their columns; rows of one id, or of none, stay together."""
+    gone = near_components(docs, id_col, text_col, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(checked_broadcast(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op10_odd_sketch_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_components(docs, width=2, percent=80).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
