@@ -20,6 +20,8 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ END_ID = 1
 #: In tokens: cost of a window, of a cut at a sentence's end, of a cut inside a sentence.
 WINDOW, SENTENCE, INSIDE = 8, 3, 48
 STRIDE = 256
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 class WordIds(dict):
@@ -44,32 +46,61 @@ class WordIds(dict):
         ends = [i for t, i in self.tokenizer.get_vocab().items() if (w := t.removesuffix("</w>")) and any(c in ".!?" for c in w) and not any(c.isalnum() for c in w)]
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.sentence_end[ends] = True
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def stem(self, word: str) -> bytes:
         if (ids := self.stems.get(word)) is None:
-            if len(self.stems) >= REMEMBERED:
-                self.stems.clear()
-                self.stems[""] = b""
             ids = self.stems[word] = self.encode(word)
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,;:!?|")
+        core = word.rstrip(SIGNS)
         if core.isalpha() and "Σ" not in core:
             # Letters make one piece, the signs behind them another.
             ids = self.stem(core.lower()) + self.stem(word[len(core) :])
         else:
             ids = self.encode(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
         self[word] = ids
         return ids
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
+    def learn(self, words: list[str]) -> None:
+        """Encodes at once those words of letters that aren't known."""
+        if len(self) >= REMEMBERED or len(self.stems) >= REMEMBERED:
+            self.clear()
+            self.stems = {"": b""}
+        stems = [c for c in {w.rstrip(SIGNS).lower() for w in words if w not in self} if c not in self.stems and c.isalpha() and "σ" not in c and "ς" not in c]
+        if len(stems) > 1:
+            ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(stems):
+                raw, at = ids.tobytes(), 0
+                for stem, end in zip(stems, (4 * ends).tolist()):
+                    self.stems[stem] = raw[at:end]
+                    at = end
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id behind it, and each text's count. Every different word is looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        raw = [self[w] for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        table, first = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        count = size[at]
+        done = np.r_[0, np.cumsum(count)]
+        ids = table[np.repeat(first[at] - done[:-1], count) + np.arange(done[-1])]
+        ends = done[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        return np.insert(ids, ends, END_ID).astype("<u4", copy=False), np.diff(np.r_[0, ends]) + 1
+
+
+SIGNS = '.,;:!?|*#$%&"()[]{}<>-_/+=~@^`'
+SLICE_BYTES = 8 << 20
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -142,7 +173,7 @@ def pack_block(doc_ids: list, tokens: list[np.ndarray], sentence_end: np.ndarray
     lo, hi = np.r_[0, bounds[:-1]] if bounds[0] else bounds[:-1], bounds if bounds[0] else bounds[1:]
     doc = np.searchsorted(ends, lo, "right")
     window = np.searchsorted(cuts, lo, "right") - 1
-    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    raw = memoryview(ids).cast("B")
     begin = ends - np.diff(np.r_[0, ends])
     out = pd.DataFrame(
         {
@@ -158,18 +189,27 @@ def pack_block(doc_ids: list, tokens: list[np.ndarray], sentence_end: np.ndarray
     return out, len(cuts) - 1
 
 
+def byte_slices(texts: pa.Array):
+    """(start, rows) of slices of about SLICE_BYTES."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        to = max(at + 1, to)
+        yield at, to - at
+        at = to
+
+
 def _packed(tokenizer: str, size: int):
     def run(batches):
         words, first = word_ids(tokenizer), TaskContext.get().partitionId() << 32
         doc_ids: list = []
         tokens: list = []
         held = 0
-        end = np.array([END_ID], "<u4")
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 512):
-                for doc_id, text in zip(ids.slice(at, 512).to_pylist(), texts.slice(at, 512).to_pylist()):
-                    found = np.concatenate([words.ids(text), end]) if text else end
+            for at, rows in byte_slices(batch.column(1)):
+                ids, counts = words.encode_all(batch.column(1).slice(at, rows))
+                for doc_id, found in zip(batch.column(0).slice(at, rows).to_pylist(), np.split(ids, np.cumsum(counts)[:-1])):
                     doc_ids.append(doc_id)
                     tokens.append(found)
                     held += len(found)
@@ -184,8 +224,6 @@ def _packed(tokenizer: str, size: int):
 
 
 def _batches(frame: pd.DataFrame):
-    import pyarrow as pa
-
     yield pa.RecordBatch.from_pandas(frame, schema=pa.schema([*((c, pa.int64()) for c in frame.columns[:-1]), ("ids", pa.binary())]), preserve_index=False)
 
 

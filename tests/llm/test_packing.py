@@ -2,6 +2,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grainmill.llm import packing as pk
@@ -25,9 +26,13 @@ def whole(tokenizer, text):
 
 
 def test_word_by_word_is_the_whole_text(tokenizer):
+    blanks = [f"a{chr(c)}b {chr(c)}. x" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
     words = pk.word_ids("word_bpe_49k.json")
-    for text in TEXTS:
-        assert words.ids(text or "").tolist() == whole(tokenizer, text)[:-1]
+    texts = TEXTS + blanks
+    ids, counts = words.encode_all(pa.array(texts))
+    for text, found in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert found.tolist() == whole(tokenizer, text), text
+    assert [list(s) for s in pk.byte_slices(pa.array(["a" * 9_000_000, "b", None, "c" * 8_000_000, "d" * 400_000, "e"]))] == [[0, 1], [1, 3], [4, 2]]
 
 
 def test_round_trip(spark, tokenizer):
