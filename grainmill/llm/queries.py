@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from grainmill.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup, toxicity
+from grainmill.llm import decontaminate, html_text, image_copies, language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_zstd_novelty_secrets": secrets.op1_zstd_novelty_secrets,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op6_hierarchical_language_id": language_id.op6_hierarchical_language_id,
+    "op7_local_descriptor_copies": image_copies.op7_local_descriptor_copies,
     "op8_site_style_tree": html_text.op8_site_style_tree,
     "op10_odd_sketch_near_dedup": near_dedup.op10_odd_sketch_near_dedup,
     "op3_cnn_toxicity": toxicity.op3_cnn_toxicity,
