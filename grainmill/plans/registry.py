@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grainmill.plans import queries_scalars
+
+MODULES = (queries_scalars,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by level of every project and of all together."""
     return queries()["ag01_level_rollup"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {key: f for module in MODULES for key, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {key: sql for module in MODULES for key, sql in module.SQL.items()}

@@ -16,6 +16,7 @@ def local_session(cpus: int | None = None, app: str = "grainmill", **conf: str)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.adaptive.enabled", "true")
     )
