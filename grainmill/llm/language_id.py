@@ -44,7 +44,7 @@ class Words(dict):
 def features(text: str, words: Words) -> np.ndarray | None:
     """A vector of 2 * BUCKETS of length 1; None if the text has no letter."""
     plain = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not plain:
+    if not any(map(str.isalpha, plain)):
         return None
     found = plain.split(" ")
     counts = np.bincount(np.fromiter(map(words.__getitem__, found), np.int64, len(found)), minlength=2 * BUCKETS).astype(np.float32)

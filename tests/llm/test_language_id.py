@@ -28,7 +28,7 @@ def test_families_and_accuracy(spark):
 def test_odd_rows(spark):
     docs = table(spark)
     model = li.train(docs)
-    odd = spark.createDataFrame([(1, None, None), (1, None, "aa"), (2, "", "aa"), (3, "12 34 _ !", "aa"), (None, "ka ki", None), (4, "kaki " * 400_000, "aa"), (5, "k", "aa")], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, None, None), (1, None, "aa"), (2, "", "aa"), (3, "12 34 _ ! ½ ²", "aa"), (None, "ka ki", None), (4, "kaki " * 400_000, "aa"), (5, "k", "aa")], "doc_id long, text string, lang string")
     got = {(r.doc_id, r.lang_pred) for r in li.identify(odd, model).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= got and {(d, p) for d, p in got if d == 4} <= {(4, "aa"), (4, "ab")}
     assert sum(1 for r in li.identify(odd, model).collect()) == 7
