@@ -128,10 +128,10 @@ def baseline_filter(spark, sf):
     return E.filtered(states(spark, sf), E.FilterSpec(baseline="existing")).filter("line < 20").select("seq")
 
 
-@add("st06_union", "SELECT rule_id, count(*) AS n FROM (SELECT DISTINCT rule_id, file, line, title FROM (SELECT * FROM {findings} WHERE engine = 'auditor' UNION ALL SELECT * FROM {findings} WHERE seq % 2 = 0)) GROUP BY 1")
+@add("st06_union", "SELECT rule_id, count(*) AS n FROM (SELECT DISTINCT rule_id, file, line, title FROM (SELECT * FROM {findings} WHERE engine = 'builtin' UNION ALL SELECT * FROM {findings} WHERE seq % 2 = 0)) GROUP BY 1")
 def union_engines(spark, sf):
     f = relation(spark, sf, "findings")
-    both = f.filter("engine = 'auditor'").unionByName(f.filter("seq % 2 = 0")).select("rule_id", "file", "line", "title").dropDuplicates()
+    both = f.filter("engine = 'builtin'").unionByName(f.filter("seq % 2 = 0")).select("rule_id", "file", "line", "title").dropDuplicates()
     return both.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 

@@ -23,7 +23,7 @@ SQL = {
                CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' WHEN 'signup' THEN 'Warning' WHEN 'view' THEN 'note' ELSE NULL END AS level,
                CASE event_type WHEN 'error' THEN 'red' WHEN 'purchase' THEN 'yellow' WHEN 'signup' THEN 'yellow' ELSE 'blue' END AS severity,
                CASE WHEN event_id % 3 = 0 THEN 'heuristic' ELSE 'exact' END AS precision,
-               CASE WHEN event_id % 11 = 0 THEN 'external' ELSE 'auditor' END AS engine,
+               CASE WHEN event_id % 11 = 0 THEN 'external' ELSE 'builtin' END AS engine,
                concat('Rule  ', event_id % 8, ' hit') AS title,
                CASE WHEN event_id % 19 = 0 THEN '   ' ELSE concat('  value', ' ', ' = ', user_id % 23, ' ') END AS snippet,
                CASE WHEN event_id % 4 = 0 THEN 'python' WHEN event_id % 4 = 1 THEN 'java' ELSE 'typescript' END AS language

@@ -67,7 +67,7 @@ def test_fingerprint_is_canonical_json(spark):
     import hashlib
     import json
 
-    row = {"project_root": "p", "file": 'a "b"\\c.py', "rule_id": "R", "engine": "auditor", "anchor": "x\ty é"}
+    row = {"project_root": "p", "file": 'a "b"\\c.py', "rule_id": "R", "engine": "builtin", "anchor": "x\ty é"}
     want = hashlib.sha256(json.dumps(row, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     df = spark.createDataFrame([row])
     got = df.select(S.fingerprint(*[F.col(c) for c in ("project_root", "file", "rule_id", "engine", "anchor")], quote=S.ascii_json).alias("f")).first().f
