@@ -69,7 +69,7 @@ PAIRS = "(SELECT x.label AS a, y.label AS b FROM {answers} x JOIN {answers} y ON
 
 
 @add("ag17_kappa", f"""WITH p AS {PAIRS}, o AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS same FROM p), c AS (SELECT coalesce(sum(na * nb), 0) AS chance FROM (SELECT a, count(*) AS na FROM p GROUP BY 1) JOIN (SELECT b, count(*) AS nb FROM p GROUP BY 1) ON a = b)
-SELECT n, round(same / n, 6) AS observed, round(chance / (n * n), 6) AS expected, CASE WHEN chance / (n * n) < 1 THEN round((same / n - chance / (n * n)) / (1 - chance / (n * n)), 6) END AS kappa FROM o, c""")
+SELECT n, round(same / nullif(n, 0), 6) AS observed, round(chance / nullif(n * n, 0), 6) AS expected, CASE WHEN chance / nullif(n * n, 0) < 1 THEN round((same / n - chance / (n * n)) / (1 - chance / (n * n)), 6) END AS kappa FROM o, c""")
 def kappa(spark, sf):
     a = relation(spark, sf, "answers")
     x, y = a.filter("reviewer = 'a'").select("sample_id", F.col("label").alias("a")), a.filter("reviewer = 'b'").select("sample_id", F.col("label").alias("b"))
