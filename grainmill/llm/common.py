@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word, remembered; the memory is bounded by forgetting."""
 
-    MOST = 500_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -83,9 +84,16 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def slices(frame, rows: int) -> Iterator:
-    for at in range(0, len(frame), rows):
-        yield frame.iloc[at : at + rows]
+def in_slices(make, rows: int = 256):
+    """For mapInArrow: `make()` gives a function of frames, called on few rows at a time, so that a batch of whole texts isn't copied at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pandas(f(batch.slice(at, rows).to_pandas()), preserve_index=False)
+
+    return run
 
 
 def as_long(h: np.ndarray) -> np.ndarray:

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import cut
 
 
+#: Edges that a task takes in at the beginning of a round, so that few edges don't pass through very many tasks.
+EDGES_PER_TASK = 100_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step on edges (u, v) with u > v: neighbours are hung on the smallest node around u."""
+    """One step on edges (u, v) with u > v: neighbours are hung on the smallest node around u. An edge may come out more than once."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,11 +27,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         hung = edges.join(least, "u")
         out = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node that each node of `edges` reaches. Self-loops and null ends are ignored; no edges, no rows."""
+    """(node, component): the smallest node that each node of `edges` reaches; checkpointed. Self-loops and null ends are ignored; no edges, no rows."""
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now, before = cut(now), None
     while True:
@@ -35,7 +39,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if seen == before or not seen[0]:
             break
         before = seen
-        now = cut(_star(_star(now, True), False))
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+        now = now.coalesce(1 + seen[0] // EDGES_PER_TASK)
+        now = cut(_star(_star(now, True), False).distinct())
+    # Stars by now: every u hangs on one v, and no v hangs on another.
+    return cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).coalesce(1 + 2 * (before or [0])[0] // EDGES_PER_TASK))

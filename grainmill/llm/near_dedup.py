@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import U64, WordHashes, as_long, checked_broadcast, cut, mix, shingle_hashes, utf8
+from grainmill.llm.common import U64, WordHashes, as_long, checked_broadcast, cut, in_slices, mix, shingle_hashes, utf8
 from grainmill.llm.graph import components
 
 BANDS, ROWS, BITS, FULL_BITS = 24, 4, 512, 1024
@@ -70,18 +71,19 @@ def most_odd_bits(threshold: float) -> int:
 
 
 def _sketches(width: int):
-    def run(frames):
+    def make():
         cache = WordHashes()
-        for frame in frames:
+
+        def run(frame):
             n, s1, s2, bands, odd = [], [], [], [], []
             for text in frame["txt"]:
                 s = doc_shingles(text, width, cache)
                 n.append(len(s))
+                s1.append(s.sum(dtype=np.uint64))
+                s2.append(mix(s ^ U64(0xA5A5A5A5)).sum(dtype=np.uint64))
                 if not len(s):
-                    s1.append(None), s2.append(None), bands.append(None), odd.append(None)
+                    bands.append([]), odd.append([])
                     continue
-                s1.append(int(as_long(s.sum(dtype=np.uint64)[None])[0]))
-                s2.append(int(as_long(mix(s ^ U64(0xA5A5A5A5)).sum(dtype=np.uint64)[None])[0]))
                 least = min_hashes(s)
                 rows = least.reshape(BANDS, ROWS)
                 key = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -89,9 +91,17 @@ def _sketches(width: int):
                     key = mix(key * U64(0x9E3779B97F4A7C15) + rows[:, r])
                 bands.append(as_long(key))
                 odd.append(as_long(odd_sketch(least)))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": n, "s1": pd.array(s1, "Int64"), "s2": pd.array(s2, "Int64"), "bands": bands, "odd": odd})
+            signs = {"s1": as_long(np.array(s1, np.uint64)), "s2": as_long(np.array(s2, np.uint64))}
+            return pd.DataFrame({"doc_id": frame["doc_id"], "n": np.array(n, np.int64), **signs, "bands": long_lists(bands), "odd": long_lists(odd)})
+
+        return run
+
+    return in_slices(make)
 
-    return run
+
+def long_lists(rows: list) -> pd.Series:
+    """Lists of long, empty ones too, as a column that Arrow takes for such."""
+    return pd.Series(pa.array(rows, pa.list_(pa.int64())), dtype=pd.ArrowDtype(pa.list_(pa.int64())))
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -101,13 +111,17 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(width: int):
-    def run(frames):
+    def make():
         cache = WordHashes()
-        for frame in frames:
+
+        def run(frame):
             sets = [doc_shingles(t, width, cache) for t in frame["txt"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(s) for s in sets], "full": [as_long(parity(s)) for s in sets], "set": [as_long(s) for s in sets]})
+            columns = {"full": long_lists([as_long(parity(s)) for s in sets]), "set": long_lists([as_long(s) for s in sets])}
+            return pd.DataFrame({"doc_id": frame["doc_id"], "n": np.array([len(s) for s in sets], np.int64), **columns})
 
-    return run
+        return run
+
+    return in_slices(make)
 
 
 def _odd_distance(a, b):
@@ -191,7 +205,7 @@ def _left_over(members: DataFrame, comps: DataFrame, traits: DataFrame, percent:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles (long), component_id (long)."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
-    known = cut(base.mapInPandas(_sketches(width), "doc_id long, n long, s1 long, s2 long, bands array<long>, odd array<long>"))
+    known = cut(base.mapInArrow(_sketches(width), "doc_id long, n long, s1 long, s2 long, bands array<long>, odd array<long>"))
     usable = known.filter((F.col("n") > 0) & (F.col("doc_id") != NO_ID))
     same = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = usable.join(same.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
@@ -201,18 +215,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = banded.join(leaders, "bucket")
     members = cut(members.select("bucket", "id", "leader"))
     # Full sets of the documents that share a bucket with another; only if these are very many are the texts shuffled, once.
-    sets = cut(base.join(checked_broadcast(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInPandas(_sets(width), "doc_id long, n long, full array<long>, set array<long>"))
+    sets = cut(base.join(checked_broadcast(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "txt").mapInArrow(_sets(width), "doc_id long, n long, full array<long>, set array<long>"))
     traits = cut(sets.join(odd, "doc_id").select("doc_id", "n", "odd", "full"))
     tested = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(tested, sets, traits, percent)
+    comps = components(_confirmed(tested, sets, traits, percent), "a", "b")
     members = members.select("bucket", "id")
     for nearest in (True, True, False):
-        more = cut(_left_over(members, cut(components(links, "a", "b")), traits, percent, nearest).join(tested, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.union(_confirmed(more, sets, traits, percent))
-            tested = tested.union(more)
+        more = cut(_left_over(members, comps, traits, percent, nearest).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        found = _confirmed(more, sets, traits, percent)
+        tested = tested.union(more)
+        if not found.isEmpty():
+            # What was joined before goes on as stars, so that few rounds are left.
+            comps = components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found), "a", "b")
     copies = usable.join(same.filter("copies > 1").select("s1", "s2", "rep"), ["s1", "s2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comps = components(links.union(copies), "a", "b")
+    comps = components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).union(copies), "a", "b")
     return (
         known.select("doc_id", F.col("n").alias("n_shingles"))
         .join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
