@@ -17,6 +17,7 @@ rows are packed as often as they are there. A null doc_id stays null in its piec
 from __future__ import annotations
 
 import os
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -32,75 +33,102 @@ END_ID = 1
 #: In tokens: cost of a window, of a cut at a sentence's end, of a cut inside a sentence.
 WINDOW, SENTENCE, INSIDE = 8, 3, 48
 STRIDE = 256
-REMEMBERED = 700_000
+#: Stems that a Python worker remembers.
+STEMS = 300_000
 
 
-class WordIds(dict):
-    """The ids of a word as little-endian 32-bit numbers, remembered up to a bound."""
+class WordIds:
+    """Ids of words by a vocabulary; stems (words without the signs behind them, in lower case) are remembered up to a bound."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Stems are normalised already; they skip the normaliser and the splitter but for white space.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.stems: dict[str, bytes] = {"": b""}
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if (w := t.removesuffix("</w>")) and any(c in ".!?" for c in w) and not any(c.isalnum() for c in w)]
+        self.tails: dict[int, bytes] = {0: b""}
+        vocabulary = self.tokenizer.get_vocab()
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.sentence_end[ends] = True
+        self.sentence_end[[i for t, i in vocabulary.items() if (w := t.removesuffix("</w>")) and any(c in ".!?" for c in w) and not any(c.isalnum() for c in w)]] = True
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def stem(self, word: str) -> bytes:
-        if (ids := self.stems.get(word)) is None:
-            ids = self.stems[word] = self.encode(word)
-        return ids
-
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(SIGNS)
-        if core.isalpha() and "Σ" not in core:
-            # Letters make one piece, the signs behind them another.
-            ids = self.stem(core.lower()) + self.stem(word[len(core) :])
-        else:
-            ids = self.encode(word)
-        self[word] = ids
-        return ids
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes at once those words of letters that aren't known."""
-        if len(self) >= REMEMBERED or len(self.stems) >= REMEMBERED:
-            self.clear()
+    def stem_ids(self, stems: list[str]) -> list[bytes | None]:
+        """The ids of each stem; None for those that aren't plain letters. Unknown ones are encoded at once."""
+        if len(self.stems) > STEMS:
             self.stems = {"": b""}
-        stems = [c for c in {w.rstrip(SIGNS).lower() for w in words if w not in self} if c not in self.stems and c.isalpha() and "σ" not in c and "ς" not in c]
-        if len(stems) > 1:
-            ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        known = self.stems
+        new = [s for s in stems if s not in known and s.isalpha() and "σ" not in s and "ς" not in s and is_normalized("NFC", s)]
+        if new:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(new).encode().decode("latin-1").translate(BYTE_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(stems):
+            if len(ends) == len(new):
                 raw, at = ids.tobytes(), 0
-                for stem, end in zip(stems, (4 * ends).tolist()):
-                    self.stems[stem] = raw[at:end]
+                for stem, end in zip(new, (4 * ends).tolist()):
+                    known[stem] = raw[at:end]
                     at = end
+        return list(map(known.get, stems))
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with the end id behind it, and each text's count. Every different word is looked up once."""
+        """The ids of all texts, each with the end id behind it, and each text's count.
+
+        Letters make one piece of a word and the signs behind them another, so that a word is its stem and its tail; both
+        are looked up once for each that differs. Words of another make are encoded as they are, once each.
+        """
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        raw = [self[w] for w in words]
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        table, first = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        count = size[at]
+        words = coded.dictionary
+        core = pc.utf8_rtrim(words, characters=SIGNS)
+        tail = pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(core).to_numpy(zero_copy_only=False)
+        stem = pc.utf8_lower(core).dictionary_encode()
+        of_stem = self.stem_ids(stem.dictionary.to_pylist())
+        stem_at = stem.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # The one letter whose lower case is two characters.
+        odd = np.array([s is None for s in of_stem], bool)[stem_at] | (tail > 8) | pc.match_substring(words, "İ").to_numpy(zero_copy_only=False)
+        codes = np.where(odd, 0, _tail_codes(words, tail))
+        tails, tail_at = np.unique(codes, return_inverse=True)
+        for code in tails.tolist():
+            if code not in self.tails:
+                self.tails[code] = self.encode(int(code).to_bytes(8, "little").rstrip(b"\0")[::-1].decode())
+        strange = words.filter(pa.array(odd)).to_pylist()
+        pieces = [s or b"" for s in of_stem] + [self.tails[c] for c in tails.tolist()] + [self.encode(w) for w in strange]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        table, first = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(size) - size
+        stem_at[odd] = len(of_stem) + len(tails) + np.arange(len(strange))
+        both = np.stack([stem_at, len(of_stem) + tail_at], axis=1)[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        count = size[both]
         done = np.r_[0, np.cumsum(count)]
-        ids = table[np.repeat(first[at] - done[:-1], count) + np.arange(done[-1])]
-        ends = done[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        ids = table[np.repeat(first[both] - done[:-1], count) + np.arange(done[-1])]
+        ends = done[2 * np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
         return np.insert(ids, ends, END_ID).astype("<u4", copy=False), np.diff(np.r_[0, ends]) + 1
 
 
+def _tail_codes(words: pa.Array, tail: np.ndarray) -> np.ndarray:
+    """The last bytes of each word, up to eight, as one number: the last byte lowest."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset + 1 : words.offset + 1 + len(words)].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    codes = np.zeros(len(words), np.uint64)
+    for k in range(8):
+        on = tail > k
+        codes[on] |= raw[ends[on] - 1 - k].astype(np.uint64) << np.uint64(8 * k)
+    return codes
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter for each byte but the space, as byte-level vocabularies write it: printable ones as they are, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*printable})) if b != 32}
+
+
+BYTE_LETTERS = byte_letters()
 SIGNS = '.,;:!?|*#$%&"()[]{}<>-_/+=~@^`'
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 _KNOWN: dict[str, WordIds] = {}
