@@ -92,9 +92,15 @@ def in_slices(make, rows: int = 256):
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield pa.RecordBatch.from_pandas(f(batch.slice(at, rows).to_pandas()), preserve_index=False)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on fewer rows go to Python at once; for sessions that pass whole texts through several stages in little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

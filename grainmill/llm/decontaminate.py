@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import WordHashes, as_long, checked_broadcast, cut, mix, shingle_hashes
+from grainmill.llm.common import WordHashes, as_long, checked_broadcast, cut, in_slices, mix, shingle_hashes
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BYTES = 64 << 20
@@ -82,11 +82,12 @@ class Lookup:
 
 
 def _probed(sketches, width: int, percent: int):
-    def run(frames):
+    def make():
         cache, rows = WordHashes(), sketches.value
         probe = Lookup([(k, s) for k, (_, s, _) in enumerate(rows)])
         whole = [shingles for _, _, shingles in rows]
-        for frame in frames:
+
+        def run(frame):
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["txt"]):
                 s = as_long(item_shingles(text, width, cache))
@@ -94,9 +95,11 @@ def _probed(sketches, width: int, percent: int):
                     shared = int(np.isin(whole[k], s, assume_unique=True).sum())
                     if 100 * shared >= percent * len(whole[k]):
                         out.append((doc_id, rows[k][0], len(whole[k]), shared))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shingles", "n_shared"])
+            return pd.DataFrame(out, columns=["doc_id", "item_id", "n_shingles", "n_shared"], dtype=np.int64)
 
-    return run
+        return run
+
+    return in_slices(make)
 
 
 def _exploded(width: int):
@@ -122,7 +125,7 @@ def contained_items(
     size = known.agg(F.sum(8 * (F.size("sketch") + F.size("shingles")) + 32)).first()[0] or 0
     if size <= sketch_bytes:
         rows = [(r["item_id"], np.array(r["sketch"], np.int64), np.array(r["shingles"], np.int64)) for r in known.toLocalIterator()]
-        found = base.mapInPandas(_probed(docs.sparkSession.sparkContext.broadcast(rows), width, percent), "doc_id long, item_id long, n_shingles long, n_shared long")
+        found = base.mapInArrow(_probed(docs.sparkSession.sparkContext.broadcast(rows), width, percent), "doc_id long, item_id long, n_shingles long, n_shared long")
         return found.distinct()
     # Each distinct item text is named by its own hash; a hash is joined with the sketches, then with the candidates' items.
     known = known.withColumn("key", F.xxhash64("shingles"))

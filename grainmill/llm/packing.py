@@ -34,19 +34,19 @@ END_ID = 1
 WINDOW, SENTENCE, INSIDE = 8, 3, 48
 STRIDE = 256
 #: Stems that a Python worker remembers.
-STEMS = 300_000
+STEMS = 150_000
 
 
 class WordIds:
     """Ids of words by a vocabulary; stems (words without the signs behind them, in lower case) are remembered up to a bound."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # Stems are normalised already; they skip the normaliser and the splitter but for white space.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.stems: dict[str, bytes] = {"": b""}
         self.tails: dict[int, bytes] = {0: b""}
         vocabulary = self.tokenizer.get_vocab()
@@ -247,6 +247,7 @@ def _packed(tokenizer: str, size: int):
                         first, doc_ids, tokens, held = first + n, [], [], 0
         if tokens:
             yield from _batches(pack_block(doc_ids, tokens, words.sentence_end, first, size)[0])
+        pa.default_memory_pool().release_unused()
 
     return run
 
