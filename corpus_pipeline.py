@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from grainmill.llm.common import cut
+from grainmill.llm.common import cut, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's threshold; the model learns from all labels."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model, thresholds = toxicity.train(docs, labels)
     return toxicity.score_toxicity(docs.select(*COLUMNS), model, thresholds).filter("NOT __flagged").select(*COLUMNS)
@@ -32,16 +33,19 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no test item."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
+    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
 
