@@ -7,7 +7,8 @@ How the work is spread
    windows have equal anchors at equal offsets. A document has one anchor in about (length - GRAM) / 2 bytes.
 3. An anchor whose hash is met once is alone: nothing around it repeats (most anchors; they go no further). An anchor whose whole context (all windows that
    can hang on it) is met twice repeats as a whole. Both are counted by aggregates that combine before the shuffle.
-4. The other anchors (the same gram, contexts that differ) are what suffix sorting is for: their contexts are sorted by
+4. Where the contexts of a gram differ, suffix sorting finds what they share: one context of each kind, met once or more
+   often, is sorted (grams whose contexts all repeat as a whole are settled by 3). They are sorted by
    the suffix from the anchor on and by the reversed prefix before it, deep-shallow: a multikey quicksort, in numpy, over
    64-bit characters down to a shallow depth, then blind tries for the groups that are still equal. From the two orders
    and their common-prefix lengths follow, for each window offset, the classes of contexts that share the part before
@@ -223,7 +224,7 @@ def _anchors(length: int):
 
 
 def _contexts(length: int):
-    """(gram, chunks, did, pos, before, behind) of the anchors that a document's row names."""
+    """(gram, chunks, lone, did, pos, before, behind) of the anchors that a document's row names."""
 
     def run(frames):
         for frame in frames:
@@ -232,11 +233,11 @@ def _contexts(length: int):
                 data = utf8(text)
                 for a in at:
                     p = a["pos"]
-                    rows.append((a["gram"], a["chunks"], did, p, data[max(0, p - (length - GRAM)) : p], data[p : p + length]))
+                    rows.append((a["gram"], a["chunks"], a["lone"], did, p, data[max(0, p - (length - GRAM)) : p], data[p : p + length]))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["gram", "chunks", "did", "pos", "before", "behind"])
+                    yield pd.DataFrame(rows, columns=["gram", "chunks", "lone", "did", "pos", "before", "behind"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["gram", "chunks", "did", "pos", "before", "behind"])
+            yield pd.DataFrame(rows, columns=["gram", "chunks", "lone", "did", "pos", "before", "behind"])
 
     return run
 
@@ -259,7 +260,8 @@ def _sorted_groups(length: int, pack_ranges: int):
         key = np.r_[True, (f["gram"].to_numpy()[1:] != f["gram"].to_numpy()[:-1]) | (f["chunk"].to_numpy()[1:] != f["chunk"].to_numpy()[:-1])]
         flags = repeated_windows(before, behind, np.cumsum(key), length)
         did, pos, chunks = f["did"].to_numpy(), f["pos"].to_numpy(), f["chunks"].to_numpy()
-        out = [(int(did[i]), lo, hi) for i in np.flatnonzero(flags.any(axis=1)) for lo, hi in spans_of(flags[i], int(pos[i]), length)]
+        # The places of a context that is met more than once are marked whole already.
+        out = [(int(did[i]), lo, hi) for i in np.flatnonzero(flags.any(axis=1) & f["lone"].to_numpy(bool)) for lo, hi in spans_of(flags[i], int(pos[i]), length)]
         yield pd.DataFrame({"did": [o[0] for o in out], "lo": [o[1] for o in out], "hi": [o[2] for o in out], "part": pd.array([None] * len(out), "Int32"), "packed": [None] * len(out)})
         packs: dict[int, list] = {}
         for i in np.flatnonzero(chunks > 1):
@@ -354,29 +356,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt")).withColumn("did", F.xxhash64("txt"))
     texts = base.groupBy("did").agg((F.count("*") > 1).alias("twice"), F.max("doc_id").alias("one"))
     # Of copies only the one with the largest id is looked at; the ids of the others go to the tasks if they are few enough.
-    others = base.select("did", "doc_id").join(texts.filter("twice").select("did", "one"), "did").filter("doc_id <> one").select("doc_id").distinct()
-    single = base.join(checked_broadcast(others), "doc_id", "left_anti")
+    others = base.select("did", "doc_id").join(texts.filter("twice").select("did", "one"), "did").filter("doc_id <> one").select("did", "doc_id").distinct()
+    single = base.join(checked_broadcast(others, row_bytes=32), ["did", "doc_id"], "left_anti")
     long_texts = single.filter(F.octet_length("txt") >= length).select("did", "txt")
     found = long_texts.mapInPandas(_anchors(length), "did long, pos long, gram long, ctx long").withColumn("pos", F.col("pos").cast("int"))
 
     place = F.xxhash64("did", "pos")
     again = found.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("gram")
     rows = cut(found.join(again, "gram", "left_semi"))
-    kinds = rows.groupBy("gram", "ctx").agg(F.max("did").alias("did"), F.max("pos").alias("pos"), ((F.min("did") == F.max("did")) & (F.min("pos") == F.max("pos"))).alias("lone"))
+    # Of each kind one place is taken; did and pos come from the same row.
+    kinds = rows.groupBy("gram", "ctx").agg(F.max_by("did", place).alias("did"), F.max_by("pos", place).alias("pos"), (F.min(place) == F.max(place)).alias("lone"))
     whole = rows.join(kinds.filter("NOT lone").select("gram", "ctx"), ["gram", "ctx"], "left_semi")
     whole = whole.select("did", F.greatest(F.col("pos").cast("long") - (length - GRAM), F.lit(0).cast("long")).alias("lo"), (F.col("pos").cast("long") + length).alias("hi")).distinct()
-    mixed = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    mixed = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.bool_or("lone").alias("open")).filter("kinds > 1 AND open").drop("open"))
     largest, to_pack = mixed.agg(F.max("kinds"), F.sum(F.when(F.col("kinds") > chunk, F.col("kinds")))).first()
     ranges = 1 + (to_pack or 0) * (length - GRAM + 1) // 1_000_000
 
     chunks = F.ceil(F.col("kinds") / chunk).cast("int")
-    open_at = kinds.filter("lone").join(mixed, "gram").groupBy("did").agg(F.collect_list(F.struct("gram", "pos", chunks.alias("chunks"))).alias("open"))
+    open_at = kinds.join(mixed, "gram").groupBy("did").agg(F.collect_list(F.struct("gram", "pos", chunks.alias("chunks"), "lone")).alias("open"))
     named = texts.join(open_at, "did").select("did", "one", "open")
     contexts = (
         base.join(named, "did")
         .filter(F.col("doc_id").eqNullSafe(F.col("one")))
         .select("did", "txt", "open")
-        .mapInPandas(_contexts(length), "gram long, chunks int, did long, pos long, before binary, behind binary")
+        .mapInPandas(_contexts(length), "gram long, chunks int, lone boolean, did long, pos long, before binary, behind binary")
         .withColumn("chunk", F.pmod(F.xxhash64("did", "pos"), F.col("chunks")).cast("int"))
         .repartition("gram", "chunk")
         .sortWithinPartitions("gram", "chunk")

@@ -43,6 +43,34 @@ def test_same_as_brute_force(spark, chunk):
     assert [got[i] for i in range(len(rows))] == brute(rows, 400)
 
 
+def random_text(rng, n):
+    return "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+
+@pytest.mark.parametrize("chunk", [50_000, 2])
+def test_lone_context_beside_repeated_ones(spark, chunk):
+    """A quotes what only two near copies hold: all of A's contexts are met once, theirs twice."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (400, 405, 450, 500, 599, 900):
+        region = random_text(rng, 3000)
+        rows += [random_text(rng, 500) + region + random_text(rng, 500), random_text(rng, 700) + region + random_text(rng, 300)]
+        rows.append(random_text(rng, 600) + region[1000 : 1000 + n] + random_text(rng, 600))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(df, chunk=chunk).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows, 400)
+
+
+def test_other_text_with_the_id_of_a_copy(spark):
+    """Rows that share a doc_id are different documents: only the copy itself is left out."""
+    rng = np.random.default_rng(9)
+    copy, shared = random_text(rng, 900), random_text(rng, 450)
+    rows = [copy, copy, random_text(rng, 100) + shared + random_text(rng, 100), random_text(rng, 50) + shared + random_text(rng, 70)]
+    df = spark.createDataFrame(list(zip([1, 2, 1, 3], rows)), "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(df).collect())
+    assert got == sorted(brute(rows, 400))
+
+
 def test_empty_table_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(none).count() == 0
