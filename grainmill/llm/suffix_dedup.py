@@ -14,7 +14,8 @@ How the work is spread
    and their common-prefix lengths follow, for each window offset, the classes of contexts that share the part before
    and the part behind the anchor; a window repeats if another context is in both of its classes.
 5. A gram met in more contexts than a task takes is dealt out in chunks. A window that repeats within its chunk is
-   settled there; hashes of the others go, packed, to tasks that each take one range of hashes of all chunks.
+   settled there; hashes of the others go, packed, to tasks that each take one range of hashes of all chunks, and with
+   them one hash of each settled window of a chunk, which confirms those of other chunks.
 
 Defined results: a null text is empty. Offsets are bytes of UTF-8. Matches never cross documents. Rows that share a
 doc_id are different documents here; the ids of repeated rows stay with their rows.
@@ -39,6 +40,9 @@ _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U64(pow(int(_BASE), -1, 2**64))
 _TABLE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _PIECE = 1 << 18
+#: In place of a window's start: it is known to repeat. Packs of so many windows go on at once.
+SETTLED = 2**64 - 1
+PACK = 200_000
 
 
 def gram_hashes(data: bytes, gram: int) -> np.ndarray:
@@ -181,14 +185,15 @@ def deep_shallow(strings: list[bytes], groups: np.ndarray) -> tuple[np.ndarray,
     return order, common
 
 
-def repeated_windows(before: list[bytes], behind: list[bytes], groups: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(before: list[bytes], behind: list[bytes], groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each context (the bytes before the anchor; those from it on) a row of flags: at offset o before the anchor, the
-    window of `length` bytes is there and is also in another context of the group at the same offset."""
+    window of `length` bytes is there and is also in another context of the group at the same offset. And a row of flags
+    for one context of each such window."""
     n, most = len(before), length - GRAM
     left_order, left_common = deep_shallow([s[::-1] for s in before], groups)
     right_order, right_common = deep_shallow(behind, groups)
     room_left, room_right = np.array([len(s) for s in before]), np.array([len(s) for s in behind])
-    flags = np.zeros((n, most + 1), bool)
+    flags, first = np.zeros((n, most + 1), bool), np.zeros((n, most + 1), bool)
     left, right = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(most + 1):
         fits = np.flatnonzero((room_left >= o) & (room_right >= length - o))
@@ -197,9 +202,10 @@ def repeated_windows(before: list[bytes], behind: list[bytes], groups: np.ndarra
         left[left_order] = np.cumsum(left_common < o)
         right[right_order] = np.cumsum(right_common < length - o)
         both = left[fits] * (n + 1) + right[fits]
-        _, back, count = np.unique(both, return_inverse=True, return_counts=True)
+        _, at, back, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
         flags[fits[count[back] > 1], o] = True
-    return flags
+        first[fits[at[count > 1]], o] = True
+    return flags, first
 
 
 # --- stages ------------------------------------------------------------------------------------------------------------
@@ -252,26 +258,36 @@ def spans_of(flags: np.ndarray, pos: int, length: int) -> list[tuple[int, int]]:
 
 
 def _sorted_groups(length: int, pack_ranges: int):
-    """Contexts in order of (gram, chunk): found spans, and packed hashes of the unsettled windows of grams in several chunks."""
+    """Contexts in order of (gram, chunk): found spans, and packed hashes of the windows of grams in several chunks."""
 
     def settle(f: pd.DataFrame):
         f = f.drop_duplicates(["gram", "did", "pos"], ignore_index=True)
         before, behind = f["before"].to_list(), f["behind"].to_list()
         key = np.r_[True, (f["gram"].to_numpy()[1:] != f["gram"].to_numpy()[:-1]) | (f["chunk"].to_numpy()[1:] != f["chunk"].to_numpy()[:-1])]
-        flags = repeated_windows(before, behind, np.cumsum(key), length)
+        flags, first = repeated_windows(before, behind, np.cumsum(key), length)
         did, pos, chunks = f["did"].to_numpy(), f["pos"].to_numpy(), f["chunks"].to_numpy()
         # The places of a context that is met more than once are marked whole already.
-        out = [(int(did[i]), lo, hi) for i in np.flatnonzero(flags.any(axis=1) & f["lone"].to_numpy(bool)) for lo, hi in spans_of(flags[i], int(pos[i]), length)]
+        lone = f["lone"].to_numpy(bool)
+        out = [(int(did[i]), lo, hi) for i in np.flatnonzero(flags.any(axis=1) & lone) for lo, hi in spans_of(flags[i], int(pos[i]), length)]
         yield pd.DataFrame({"did": [o[0] for o in out], "lo": [o[1] for o in out], "hi": [o[2] for o in out], "part": pd.array([None] * len(out), "Int32"), "packed": [None] * len(out)})
         packs: dict[int, list] = {}
+        size = 0
         for i in np.flatnonzero(chunks > 1):
             data, cut_at = before[i] + behind[i], len(before[i])
             for o in range(min(length - GRAM, cut_at) + 1):
-                if not flags[i, o] and len(behind[i]) >= length - o:
+                if (first[i, o] or not flags[i, o]) and len(behind[i]) >= length - o:
                     h = xxhash.xxh3_64_intdigest(data[cut_at - o : cut_at - o + length])
-                    packs.setdefault(h % pack_ranges, []).append((h, int(did[i]) % 2**64, int(pos[i]) - o))
+                    place = (0, SETTLED) if flags[i, o] or not lone[i] else (int(did[i]) % 2**64, int(pos[i]) - o)
+                    packs.setdefault(h % pack_ranges, []).append((h, *place))
+                    size += 1
+            if size > PACK:
+                yield packed(packs)
+                packs, size = {}, 0
         if packs:
-            yield pd.DataFrame({"did": -1, "lo": -1, "hi": -1, "part": pd.array(list(packs), "Int32"), "packed": [np.array(v, np.uint64).tobytes() for v in packs.values()]})
+            yield packed(packs)
+
+    def packed(packs: dict[int, list]) -> pd.DataFrame:
+        return pd.DataFrame({"did": -1, "lo": -1, "hi": -1, "part": pd.array(list(packs), "Int32"), "packed": [np.array(v, np.uint64).tobytes() for v in packs.values()]})
 
     def run(frames):
         rest = None
@@ -291,13 +307,14 @@ def _sorted_groups(length: int, pack_ranges: int):
 
 
 def _across_chunks(length: int):
-    """Rows of one range of window hashes together: the windows that are in two chunks."""
+    """Rows of one range of window hashes together: the windows that are in two chunks, or in one where they are settled."""
 
     def found(packs: list[bytes]):
         # A window can hang on several anchors of its own text; it counts once.
         rows = np.unique(np.frombuffer(b"".join(packs), np.uint64).reshape(-1, 3), axis=0)
+        known = rows[:, 2] == U64(SETTLED)
         _, back, count = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-        hit = rows[count[back] > 1]
+        hit = rows[(count[back] > 1) & ~known]
         at = hit[:, 2].astype(np.int64)
         return pd.DataFrame({"did": hit[:, 1].astype(np.int64), "lo": at, "hi": at + length})
 

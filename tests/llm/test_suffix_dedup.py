@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from grainmill.llm import suffix_dedup as sd
@@ -61,6 +62,29 @@ def test_lone_context_beside_repeated_ones(spark, chunk):
     assert [got[i] for i in range(len(rows))] == brute(rows, 400)
 
 
+def test_window_twice_in_one_chunk_and_once_in_another():
+    rng = np.random.default_rng(10)
+    passage = random_text(rng, 400).encode()
+    before = [random_text(rng, 200).encode() for _ in range(4)]
+    frame = pd.DataFrame({"gram": 7, "chunk": [0, 0, 1, 1], "chunks": 2, "lone": True, "did": [-1, 2, 3, 4], "pos": [200, 300, 400, 500], "before": before, "behind": [passage] * 3 + [passage[::-1]]})
+    rows = pd.concat(sd._sorted_groups(400, 1)(iter([frame])), ignore_index=True)
+    within, packs = rows[rows["part"].isna()], rows[rows["part"].notna()]
+    across = pd.concat(sd._across_chunks(400)(iter([packs])), ignore_index=True)
+    assert sorted(zip(within["did"], within["lo"], within["hi"])) == [(-1, 200, 600), (2, 300, 700)]
+    assert list(zip(across["did"], across["lo"], across["hi"])) == [(3, 400, 800)]
+
+
+def test_passages_of_three_over_small_chunks(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in (400, 430, 480, 560, 700, 1200):
+        passage = random_text(rng, n)
+        rows += [random_text(rng, 250) + passage + random_text(rng, 250) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(df, chunk=2).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows, 400)
+
+
 def test_other_text_with_the_id_of_a_copy(spark):
     """Rows that share a doc_id are different documents: only the copy itself is left out."""
     rng = np.random.default_rng(9)
