@@ -4,7 +4,8 @@ The patterns give the base spans. The method adds to them: a candidate is a long
 word of a sensitive context (or an assignment to a name) within a few characters. Its novelty is measured by compression
 with a dictionary made of the text around it and of common identifiers: the bytes that the candidate adds to the
 compressed surroundings, against its length. Prose, identifiers, paths and repeated values cost part of their length;
-random key material costs all of it. What reaches the threshold and touches no base span is reported.
+random key material costs all of it, or of a long key of a small alphabet what its characters cost in any order. What
+reaches the threshold and touches no base span is reported. Every candidate within the reach of a context word is measured.
 
 Whole texts, one pass, no shuffle. A long text is handled at once; dictionaries are a few KB around each candidate.
 Defined results: a null text is empty and has no span; offsets are code points; repeated rows give repeated rows.
@@ -12,7 +13,10 @@ Defined results: a null text is empty and has no span; offsets are code points;
 
 from __future__ import annotations
 
+import math
+import random
 import re
+from collections import Counter
 
 import pandas as pd
 import zstandard
@@ -31,6 +35,8 @@ REACH = 64
 AROUND = 2048
 #: Bytes that a candidate must add for each of its characters.
 NOVELTY = 0.9
+#: Entropy of a candidate's characters, against that of its alphabet used evenly, from which it may be a key of a small alphabet.
+EVEN = 0.9
 IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000 1111111111 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX ================ "
     b"function return import from class public private static const string value default config settings options request response "
@@ -49,6 +55,18 @@ def novelty(before: bytes, candidate: bytes, after: bytes) -> float:
     return (len(pack.compress(tail + candidate)) - len(pack.compress(tail))) / max(1, len(candidate))
 
 
+def is_novel(before: bytes, candidate: bytes, after: bytes, threshold: float) -> bool:
+    """Whether it reaches the threshold: against its length, or, if its alphabet is used evenly, against its characters in another order."""
+    found = novelty(before, candidate, after)
+    if found >= threshold:
+        return True
+    counts, n = Counter(candidate).values(), len(candidate)
+    if sum(c * math.log2(n / c) for c in counts) < EVEN * n * math.log2(len(counts)):
+        return False
+    # The coder of literals packs small alphabets: how well shows on the same characters, shuffled; some orders it leaves unpacked.
+    return found >= threshold * min(novelty(before, bytes(random.Random(seed).sample(candidate, n)), after) for seed in range(4))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -61,23 +79,19 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
     """Candidates in a sensitive context that don't compress and don't touch a base span."""
     out: list[tuple[int, int, str]] = []
     done, at_base = 0, 0
+    enc = lambda s: s.encode("utf-8", "surrogatepass")
     for word in CONTEXT.finditer(text):
-        if word.end() < done:
-            continue
-        m = CANDIDATE.search(text, max(word.end(), done), word.end() + REACH)
-        if not m:
-            continue
-        done = end = CANDIDATE.match(text, m.start()).end()
-        while at_base < len(base) and base[at_base][1] <= m.start():
-            at_base += 1
-        if any(a < end and m.start() < b for a, b, _ in base[at_base : at_base + 3]):
-            continue
-        value = text[m.start() : end]
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue
-        enc = lambda s: s.encode("utf-8", "surrogatepass")
-        if novelty(enc(text[max(0, m.start() - AROUND) : m.start()]), enc(value), enc(text[end : end + AROUND])) >= threshold:
-            out.append((m.start(), end, KINDS[3]))
+        while m := CANDIDATE.search(text, max(word.end(), done), word.end() + REACH):
+            done = end = CANDIDATE.match(text, m.start()).end()
+            while at_base < len(base) and base[at_base][1] <= m.start():
+                at_base += 1
+            if any(a < end and m.start() < b for a, b, _ in base[at_base : at_base + 3]):
+                continue
+            value = text[m.start() : end]
+            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                continue
+            if is_novel(enc(text[max(0, m.start() - AROUND) : m.start()]), enc(value), enc(text[end : end + AROUND]), threshold):
+                out.append((m.start(), end, KINDS[3]))
     return out
 
 

@@ -85,6 +85,28 @@ def test_novelty_adds_only_what_does_not_compress():
     assert sc.novelty(b"", b"0" * 64, b"") < 0.3 < 0.9 < sc.novelty(b"the text before", KEY.encode(), b"and behind")
 
 
+def test_value_behind_a_long_name():
+    for text in (f'AUTHENTICATION_SERVICE_PASSPHRASE = "{KEY}"', f'secret_access_credentials_store: "{KEY}" end', f"OAUTH2_AUTHORIZATION_SERVER_PASSPHRASE_FILE_V2 = {KEY}"):
+        assert KEY in [text[a:b] for a, b, _ in sc.novel_spans(text, [])], text
+
+
+def test_random_keys_of_every_alphabet_and_length():
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    for alphabet in (string.digits + "ABCDEF", upper + "234567", lower + string.digits, upper + lower + string.digits, upper + lower + string.digits + "+/"):
+        for n in (20, 32, 40, 64, 128, 350, 1000):
+            draw, met = random.Random(n), 0
+            for _ in range(40):
+                key = "".join(draw.choices(alphabet, k=n - 2)) + "A7" if alphabet[0] != "a" else "".join(draw.choices(alphabet, k=n - 2)) + "a7"
+                text = f"the credential of the server is {key} and no other"
+                met += [text[a:b] for a, b, _ in sc.novel_spans(text, [])] == [key]
+            assert met >= 39, (alphabet, n, met)
+
+
+def test_even_alphabets_that_repeat_are_not_novel():
+    for value in ("0123456789ABCDEF" * 8, "A1" * 40, "a" * 40 + "1" * 40, "abc" * 9 + "123" * 9, "DEADBEEF01234567" * 5):
+        assert sc.novel_spans(f"the credential of the server is {value} and no other", []) == [], value
+
+
 def test_query_digest(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for r in sc.op1_zstd_novelty_secrets(spark, str(tmp_path)).collect():
