@@ -40,6 +40,25 @@ def checked_broadcast(ids: DataFrame, most_bytes: int = BROADCAST_BYTES, row_byt
     return F.broadcast(ids) if ids.count() * row_bytes <= most_bytes else ids
 
 
+#: A key with more than a HEAVY-th of all rows is hot, so there are fewer than HEAVY such keys whatever the input; its rows are dealt to SALTS parts.
+HEAVY, SALTS, LEAST_HOT = 1000, 64, 1000
+
+
+def hot_keys(counted: DataFrame, on: list[str], total: int, rows: str = "n") -> DataFrame:
+    """The keys of `counted` that have more than a HEAVY-th of `total` rows; fewer than HEAVY of them."""
+    return counted.filter(F.col(rows) > max(total // HEAVY, LEAST_HOT)).select(*on)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, on, how), with the left rows of the `hot` keys dealt to SALTS parts by a hash of `by`, and their right rows copied to each part."""
+    marked = F.broadcast(hot.select(*on, F.lit(True).alias("__hot")))
+    own = F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(marked, on, "left").withColumn("__salt", own).drop("__hot")
+    b = right.join(marked, on, "left").withColumn("__salt", F.explode(parts)).drop("__hot")
+    return a.join(b, [*on, "__salt"], how).drop("__salt")
+
+
 def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
