@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts elsewhere are removed.
 
 How the work is spread
-1. A text is named by its 64-bit hash. Texts met more than once are removed whole where they have `length` bytes, and
-   count as one text in what follows.
+1. A text is named by two hashes (`did`, `d2`; 96 bits). Texts met more than once are removed whole where they have
+   `length` bytes, and count as one text in what follows, since their places have the same names. A text that very many
+   rows hold (more than a HEAVY-th) is looked at in one of them only.
 2. Every window of `length` bytes has one anchor: the leftmost smallest of the hashes of its GRAM-byte substrings. Equal
    windows have equal anchors at equal offsets. A document has one anchor in about (length - GRAM) / 2 bytes.
 3. An anchor whose hash is met once is alone: nothing around it repeats (most anchors; they go no further). An anchor whose whole context (all windows that
@@ -13,12 +14,16 @@ How the work is spread
    64-bit characters down to a shallow depth, then blind tries for the groups that are still equal. From the two orders
    and their common-prefix lengths follow, for each window offset, the classes of contexts that share the part before
    and the part behind the anchor; a window repeats if another context is in both of its classes.
-5. A gram met in more contexts than a task takes is dealt out in chunks. A window that repeats within its chunk is
+5. Grams, contexts and texts with very many rows are dealt to several parts in each join (salted_join). Texts are shuffled once,
+   by name; contexts are cut from the same shuffle that the marks are joined to.
+6. A gram met in more contexts than a task takes is dealt out in chunks. A window that repeats within its chunk is
    settled there; hashes of the others go, packed, to tasks that each take one range of hashes of all chunks, and with
    them one hash of each settled window of a chunk, which confirms those of other chunks.
 
+Contexts are compared by gram and context hash (128 bits), windows of different chunks by 128 bits.
+
 Defined results: a null text is empty. Offsets are bytes of UTF-8. Matches never cross documents. Rows that share a
-doc_id are different documents here; the ids of repeated rows stay with their rows.
+doc_id are different documents here; the ids of repeated rows, null ones too, stay with their rows.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import U64, checked_broadcast, cut, mix, utf8
+from grainmill.llm.common import SALTS, U64, cut, hot_keys, mix, salted_join, utf8
 
 GRAM = 200
 CHUNK = 50_000
@@ -220,6 +225,7 @@ def _anchors(length: int):
                 yield pd.DataFrame(
                     {
                         "did": np.repeat(part["did"].to_numpy(), [len(f[0]) for f in found]),
+                        "d2": np.repeat(part["d2"].to_numpy(), [len(f[0]) for f in found]),
                         "pos": np.concatenate([f[0] for f in found]),
                         "gram": np.concatenate([f[1] for f in found]).view(np.int64),
                         "ctx": np.concatenate([f[2] for f in found]).view(np.int64),
@@ -230,20 +236,21 @@ def _anchors(length: int):
 
 
 def _contexts(length: int):
-    """(gram, chunks, lone, did, pos, before, behind) of the anchors that a document's row names."""
+    """(gram, chunks, lone, did, d2, pos, before, behind) of the anchors that a document's row names."""
+    columns = ["gram", "chunks", "lone", "did", "d2", "pos", "before", "behind"]
 
     def run(frames):
         for frame in frames:
             rows = []
-            for did, text, at in zip(frame["did"], frame["txt"], frame["open"]):
+            for did, d2, text, at in zip(frame["did"], frame["d2"], frame["txt"], frame["open"]):
                 data = utf8(text)
                 for a in at:
                     p = a["pos"]
-                    rows.append((a["gram"], a["chunks"], a["lone"], did, p, data[max(0, p - (length - GRAM)) : p], data[p : p + length]))
+                    rows.append((a["gram"], a["chunks"], a["lone"], did, d2, p, data[max(0, p - (length - GRAM)) : p], data[p : p + length]))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["gram", "chunks", "lone", "did", "pos", "before", "behind"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
-            yield pd.DataFrame(rows, columns=["gram", "chunks", "lone", "did", "pos", "before", "behind"])
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -261,24 +268,24 @@ def _sorted_groups(length: int, pack_ranges: int):
     """Contexts in order of (gram, chunk): found spans, and packed hashes of the windows of grams in several chunks."""
 
     def settle(f: pd.DataFrame):
-        f = f.drop_duplicates(["gram", "did", "pos"], ignore_index=True)
+        f = f.drop_duplicates(["gram", "did", "d2", "pos"], ignore_index=True)
         before, behind = f["before"].to_list(), f["behind"].to_list()
         key = np.r_[True, (f["gram"].to_numpy()[1:] != f["gram"].to_numpy()[:-1]) | (f["chunk"].to_numpy()[1:] != f["chunk"].to_numpy()[:-1])]
         flags, first = repeated_windows(before, behind, np.cumsum(key), length)
-        did, pos, chunks = f["did"].to_numpy(), f["pos"].to_numpy(), f["chunks"].to_numpy()
+        did, d2, pos, chunks = f["did"].to_numpy(), f["d2"].to_numpy(), f["pos"].to_numpy(), f["chunks"].to_numpy()
         # The places of a context that is met more than once are marked whole already.
         lone = f["lone"].to_numpy(bool)
-        out = [(int(did[i]), lo, hi) for i in np.flatnonzero(flags.any(axis=1) & lone) for lo, hi in spans_of(flags[i], int(pos[i]), length)]
-        yield pd.DataFrame({"did": [o[0] for o in out], "lo": [o[1] for o in out], "hi": [o[2] for o in out], "part": pd.array([None] * len(out), "Int32"), "packed": [None] * len(out)})
+        out = [(int(did[i]), int(d2[i]), lo, hi) for i in np.flatnonzero(flags.any(axis=1) & lone) for lo, hi in spans_of(flags[i], int(pos[i]), length)]
+        yield pd.DataFrame({"did": [o[0] for o in out], "d2": [o[1] for o in out], "lo": [o[2] for o in out], "hi": [o[3] for o in out], "part": pd.array([None] * len(out), "Int32"), "packed": [None] * len(out)})
         packs: dict[int, list] = {}
         size = 0
         for i in np.flatnonzero(chunks > 1):
             data, cut_at = before[i] + behind[i], len(before[i])
             for o in range(min(length - GRAM, cut_at) + 1):
                 if (first[i, o] or not flags[i, o]) and len(behind[i]) >= length - o:
-                    h = xxhash.xxh3_64_intdigest(data[cut_at - o : cut_at - o + length])
-                    place = (0, SETTLED) if flags[i, o] or not lone[i] else (int(did[i]) % 2**64, int(pos[i]) - o)
-                    packs.setdefault(h % pack_ranges, []).append((h, *place))
+                    h = xxhash.xxh3_128_intdigest(data[cut_at - o : cut_at - o + length])
+                    place = (0, SETTLED) if flags[i, o] or not lone[i] else (int(did[i]) % 2**64, (int(d2[i]) % 2**32 << 32) + int(pos[i]) - o)
+                    packs.setdefault(h % pack_ranges, []).append((h >> 64, h % 2**64, *place))
                     size += 1
             if size > PACK:
                 yield packed(packs)
@@ -287,7 +294,7 @@ def _sorted_groups(length: int, pack_ranges: int):
             yield packed(packs)
 
     def packed(packs: dict[int, list]) -> pd.DataFrame:
-        return pd.DataFrame({"did": -1, "lo": -1, "hi": -1, "part": pd.array(list(packs), "Int32"), "packed": [np.array(v, np.uint64).tobytes() for v in packs.values()]})
+        return pd.DataFrame({"did": -1, "d2": -1, "lo": -1, "hi": -1, "part": pd.array(list(packs), "Int32"), "packed": [np.array(v, np.uint64).tobytes() for v in packs.values()]})
 
     def run(frames):
         rest = None
@@ -311,12 +318,14 @@ def _across_chunks(length: int):
 
     def found(packs: list[bytes]):
         # A window can hang on several anchors of its own text; it counts once.
-        rows = np.unique(np.frombuffer(b"".join(packs), np.uint64).reshape(-1, 3), axis=0)
-        known = rows[:, 2] == U64(SETTLED)
-        _, back, count = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-        hit = rows[(count[back] > 1) & ~known]
-        at = hit[:, 2].astype(np.int64)
-        return pd.DataFrame({"did": hit[:, 1].astype(np.int64), "lo": at, "hi": at + length})
+        rows = np.unique(np.frombuffer(b"".join(packs), np.uint64).reshape(-1, 4), axis=0)
+        known = rows[:, 3] == U64(SETTLED)
+        # Rows are in order, so equal windows stand together.
+        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+        count = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        hit = rows[(count > 1) & ~known]
+        at = (hit[:, 3] & U64(2**32 - 1)).astype(np.int64)
+        return pd.DataFrame({"did": hit[:, 2].astype(np.int64), "d2": (hit[:, 3] >> U64(32)).astype(np.uint32).view(np.int32), "lo": at, "hi": at + length})
 
     def run(frames):
         part, packs = None, []
@@ -337,10 +346,10 @@ def _cleaned(length: int):
     def run(frames):
         for frame in frames:
             n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
-            for text, twice, marks in zip(frame["txt"], frame["twice"], frame["marks"]):
+            for text, marks in zip(frame["txt"], frame["marks"]):
                 data = utf8(text)
                 found = sorted((m["lo"], min(m["hi"], len(data))) for m in marks) if marks is not None else []
-                if twice and len(data) >= length:
+                if found and found[0][0] < 0:
                     found = [(0, len(data))]
                 runs: list[list[int]] = []
                 for lo, hi in found:
@@ -359,60 +368,76 @@ def _cleaned(length: int):
                 kept.append(b"".join(stay))
                 spans.append([{"lo": lo, "hi": hi} for lo, hi in runs])
             yield pd.DataFrame(
-                {"doc_id": frame["doc_id"], "n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans, "spans": spans, "kept": kept, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
+                {"doc_id": frame["doc_id"].array, "n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans, "spans": spans, "kept": kept, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
             )
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans (long), spans array<struct<lo,hi>>, kept (binary), kept_sha256.
-
-    Inside, a text is named by its 64-bit hash `did`, so that copies are one.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt")).withColumn("did", F.xxhash64("txt"))
-    texts = base.groupBy("did").agg((F.count("*") > 1).alias("twice"), F.max("doc_id").alias("one"))
-    # Of copies only the one with the largest id is looked at; the ids of the others go to the tasks if they are few enough.
-    others = base.select("did", "doc_id").join(texts.filter("twice").select("did", "one"), "did").filter("doc_id <> one").select("did", "doc_id").distinct()
-    single = base.join(checked_broadcast(others, row_bytes=32), ["did", "doc_id"], "left_anti")
-    long_texts = single.filter(F.octet_length("txt") >= length).select("did", "txt")
-    found = long_texts.mapInPandas(_anchors(length), "did long, pos long, gram long, ctx long").withColumn("pos", F.col("pos").cast("int"))
-
-    place = F.xxhash64("did", "pos")
-    again = found.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("gram")
-    rows = cut(found.join(again, "gram", "left_semi"))
-    # Of each kind one place is taken; did and pos come from the same row.
-    kinds = rows.groupBy("gram", "ctx").agg(F.max_by("did", place).alias("did"), F.max_by("pos", place).alias("pos"), (F.min(place) == F.max(place)).alias("lone"))
-    whole = rows.join(kinds.filter("NOT lone").select("gram", "ctx"), ["gram", "ctx"], "left_semi")
-    whole = whole.select("did", F.greatest(F.col("pos").cast("long") - (length - GRAM), F.lit(0).cast("long")).alias("lo"), (F.col("pos").cast("long") + length).alias("hi")).distinct()
+    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans (long), spans array<struct<lo,hi>>, kept (binary), kept_sha256."""
+    base = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
+    base = base.withColumn("did", F.xxhash64("txt")).withColumn("d2", F.hash("txt"))
+    name = ["did", "d2"]
+    copied = cut(base.filter(F.octet_length("txt") >= length).groupBy(*name).agg(F.count("*").alias("n"), F.max("doc_id").alias("one")).filter("n > 1"))
+    # Texts with a bounded number of names: what so many rows hold is looked at in one row, and its rows are dealt to several parts.
+    hot = F.broadcast(copied.join(F.broadcast(hot_keys(copied, name, copied.agg(F.sum("n")).first()[0] or 0)), name).select(*name, "one"))
+    marked = base.join(hot, name, "left")
+    part = lambda of, at: F.coalesce(F.when(of.isNotNull(), F.pmod(F.xxhash64(at), F.lit(SALTS)).cast("int")), F.lit(0))
+    by_name = marked.select("doc_id", "txt", *name, part(F.col("one"), "doc_id").alias("salt")).repartition(*name, "salt")
+    long_texts = marked.filter((F.octet_length("txt") >= length) & (F.col("one").isNull() | (F.col("one") == F.col("doc_id")))).select(*name, "txt")
+    found = long_texts.mapInPandas(_anchors(length), "did long, d2 int, pos long, gram long, ctx long").withColumn("pos", F.col("pos").cast("int"))
+
+    place = F.xxhash64(*name, "pos")
+    again = cut(found.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("gram", "n"))
+    total = again.agg(F.sum("n")).first()[0] or 0
+    rows = cut(salted_join(found, again.select("gram"), ["gram"], hot_keys(again, ["gram"], total), [*name, "pos"], "left_semi"))
+    # Of each kind one place is taken; its columns come from the same row.
+    kinds = cut(
+        rows.groupBy("gram", "ctx")
+        .agg(F.max_by(F.struct(*name, "pos"), place).alias("at"), (F.min(place) == F.max(place)).alias("lone"), F.count("*").alias("n"))
+        .select("gram", "ctx", "at.did", "at.d2", "at.pos", "lone", "n")
+    )
+    often = kinds.filter("NOT lone")
+    whole = salted_join(rows, often.select("gram", "ctx"), ["gram", "ctx"], hot_keys(often, ["gram", "ctx"], total), [*name, "pos"], "left_semi")
+    whole = whole.select(*name, F.greatest(F.col("pos").cast("long") - (length - GRAM), F.lit(0).cast("long")).alias("lo"), (F.col("pos").cast("long") + length).alias("hi")).distinct()
     mixed = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.bool_or("lone").alias("open")).filter("kinds > 1 AND open").drop("open"))
-    largest, to_pack = mixed.agg(F.max("kinds"), F.sum(F.when(F.col("kinds") > chunk, F.col("kinds")))).first()
+    largest, to_pack, all_kinds = mixed.agg(F.max("kinds"), F.sum(F.when(F.col("kinds") > chunk, F.col("kinds"))), F.sum("kinds")).first()
     ranges = 1 + (to_pack or 0) * (length - GRAM + 1) // 1_000_000
 
     chunks = F.ceil(F.col("kinds") / chunk).cast("int")
-    open_at = kinds.join(mixed, "gram").groupBy("did").agg(F.collect_list(F.struct("gram", "pos", chunks.alias("chunks"), "lone")).alias("open"))
-    named = texts.join(open_at, "did").select("did", "one", "open")
+    sorted_kinds = salted_join(kinds, mixed, ["gram"], hot_keys(mixed, ["gram"], all_kinds or 0, "kinds"), ["ctx"])
+    open_at = sorted_kinds.groupBy(*name).agg(F.collect_list(F.struct("gram", "pos", chunks.alias("chunks"), "lone")).alias("open"))
+    # A text of several rows is taken from one of them; where it has parts, from the part that holds this row.
+    one = open_at.join(copied.select(*name, "one"), name, "left").join(hot.withColumnRenamed("one", "hot"), name, "left")
+    named = one.select(*name, part(F.col("hot"), "one").alias("salt"), "one", "open")
     contexts = (
-        base.join(named, "did")
-        .filter(F.col("doc_id").eqNullSafe(F.col("one")))
-        .select("did", "txt", "open")
-        .mapInPandas(_contexts(length), "gram long, chunks int, lone boolean, did long, pos long, before binary, behind binary")
-        .withColumn("chunk", F.pmod(F.xxhash64("did", "pos"), F.col("chunks")).cast("int"))
+        by_name.join(named, [*name, "salt"])
+        .filter(F.col("one").isNull() | (F.col("doc_id") == F.col("one")))
+        .select(*name, "txt", "open")
+        .mapInPandas(_contexts(length), "gram long, chunks int, lone boolean, did long, d2 int, pos long, before binary, behind binary")
+        .withColumn("chunk", F.pmod(F.xxhash64(*name, "pos"), F.col("chunks")).cast("int"))
         .repartition("gram", "chunk")
         .sortWithinPartitions("gram", "chunk")
-        .mapInPandas(_sorted_groups(length, ranges), "did long, lo long, hi long, part int, packed binary")
+        .mapInPandas(_sorted_groups(length, ranges), "did long, d2 int, lo long, hi long, part int, packed binary")
     )
-    marks = whole.union(contexts.filter("part IS NULL").select("did", "lo", "hi"))
+    marks = whole.union(contexts.filter("part IS NULL").select(*name, "lo", "hi"))
     if (largest or 0) > chunk:
         packed = contexts.filter("part IS NOT NULL").select("part", "packed").repartition("part").sortWithinPartitions("part")
-        marks = marks.union(packed.mapInPandas(_across_chunks(length), "did long, lo long, hi long"))
-    marks = marks.groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    joined = base.join(texts.select("did", "twice").join(marks, "did", "left"), "did").select("doc_id", "txt", "twice", "marks")
-    return joined.mapInPandas(
-        _cleaned(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<lo: long, hi: long>>, kept binary, kept_sha256 string"
+        marks = marks.union(packed.mapInPandas(_across_chunks(length), "did long, d2 int, lo long, hi long"))
+    # A text of several rows is removed whole: a mark that begins before the text says so.
+    marks = marks.union(copied.select(*name, F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi")))
+    marks = marks.groupBy(*name).agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).join(hot, name, "left")
+    parts = F.when(F.col("one").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    marks = marks.select(*name, F.explode(parts).alias("salt"), F.when(F.col("one").isNull(), F.col("marks")).otherwise(F.array(F.struct(F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi")))).alias("marks"))
+    joined = by_name.join(marks, [*name, "salt"], "left").select("doc_id", "txt", "marks")
+    done = joined.mapInPandas(
+        _cleaned(length), "doc_id string, n_bytes long, n_removed long, n_spans long, spans array<struct<lo: long, hi: long>>, kept binary, kept_sha256 string"
     )
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op9_deep_shallow_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """kept_text is what stays as text; a character cut in two is U+FFFD there (the digest is of the bytes)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))

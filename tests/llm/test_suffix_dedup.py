@@ -66,12 +66,12 @@ def test_window_twice_in_one_chunk_and_once_in_another():
     rng = np.random.default_rng(10)
     passage = random_text(rng, 400).encode()
     before = [random_text(rng, 200).encode() for _ in range(4)]
-    frame = pd.DataFrame({"gram": 7, "chunk": [0, 0, 1, 1], "chunks": 2, "lone": True, "did": [-1, 2, 3, 4], "pos": [200, 300, 400, 500], "before": before, "behind": [passage] * 3 + [passage[::-1]]})
+    frame = pd.DataFrame({"gram": 7, "chunk": [0, 0, 1, 1], "chunks": 2, "lone": True, "did": [-1, 2, 3, 4], "d2": [5, 6, -7, 8], "pos": [200, 300, 400, 500], "before": before, "behind": [passage] * 3 + [passage[::-1]]})
     rows = pd.concat(sd._sorted_groups(400, 1)(iter([frame])), ignore_index=True)
     within, packs = rows[rows["part"].isna()], rows[rows["part"].notna()]
     across = pd.concat(sd._across_chunks(400)(iter([packs])), ignore_index=True)
     assert sorted(zip(within["did"], within["lo"], within["hi"])) == [(-1, 200, 600), (2, 300, 700)]
-    assert list(zip(across["did"], across["lo"], across["hi"])) == [(3, 400, 800)]
+    assert list(zip(across["did"], across["d2"], across["lo"], across["hi"])) == [(3, -7, 400, 800)]
 
 
 def test_passages_of_three_over_small_chunks(spark):
@@ -95,6 +95,27 @@ def test_other_text_with_the_id_of_a_copy(spark):
     assert got == sorted(brute(rows, 400))
 
 
+def test_hot_texts_grams_and_contexts(spark, monkeypatch):
+    """With low bounds for what is hot: one text in a third of the rows, one passage in another third, periodic texts."""
+    from grainmill.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rng = np.random.default_rng(12)
+    copy, passage = random_text(rng, 900), random_text(rng, 600)
+    rows = [copy] * 20 + [random_text(rng, 50 + 7 * i) + passage + random_text(rng, 100) for i in range(20)]
+    rows += ["ab " * 300, "ab " * 250 + random_text(rng, 500), random_text(rng, 300) + copy[200:750], random_text(rng, 450), None]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(df).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows, 400)
+
+
+def test_clashing_columns_and_large_ids(spark):
+    big = 2**62 + 1
+    df = spark.createDataFrame([(big, "q7" * 300, 1, "a", 2), (None, "r" * 10, 1, "b", 2), (big + 2, "q7" * 250, 1, "c", 2)], "doc_id long, text string, did int, gram string, salt int")
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in sd.remove_repeats(df).collect()}
+    assert got == {(big, 600, 600, 1), (None, 10, 0, 0), (big + 2, 500, 500, 1)}
+
+
 def test_empty_table_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(none).count() == 0
