@@ -5,9 +5,11 @@ frequencies under a square root. A first stage of linear support vector machines
 family; within a family, one-versus-one linear support vector machines vote on the language. The families are found
 from the sample: languages whose mean features are near are put together.
 
-The fit uses a sample drawn by hash, of at most MAX_ROWS documents, MAX_PER_LANG of a language, and at most MAX_CHARS
-characters of each, gathered on the driver; languages with fewer than MIN_PER_LANG are not learned. Prediction reads whole texts in
-one pass without a shuffle. The score is the logistic of the smallest margin on the way, scaled on the sample.
+The fit uses a sample of rows drawn by hash: MAX_PER_LANG documents of a language, fewer where there are so many languages
+that MAX_ROWS would be passed, but one of each at least. Ids are drawn first, from the id and language columns alone; the
+features of the drawn texts, whole ones, are taken in tasks and come to the driver as sparse vectors. Prediction reads
+whole texts in one pass without a shuffle. The score is the logistic of the smallest margin on the way, scaled on the
+sample.
 
 Defined results: `und` with score 0 for a text that is null or has no letter. Repeated rows give repeated rows. If only
 one language is known, it is predicted with score 1; if none is, `und` with score 0.
@@ -20,11 +22,11 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 12
-MAX_ROWS, MAX_PER_LANG, MIN_PER_LANG, MAX_LANGS, MAX_CHARS = 4000, 500, 2, 200, 6000
+MAX_ROWS, MAX_PER_LANG = 4000, 500
 EPOCHS, LAMBDA = 12, 1e-4
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -123,23 +125,33 @@ class Model:
         return family[0], 1.0 if margin == np.inf else float(1 / (1 + np.exp(-np.clip(2 * margin, -30, 30))))
 
 
+def _sparse(frames):
+    words = Words()
+    for frame in frames:
+        found = [(lang, features(text, words)) for lang, text in zip(frame["lang"], frame["txt"])]
+        found = [(lang, np.flatnonzero(v), v) for lang, v in found if v is not None]
+        yield pd.DataFrame({"lang": [f[0] for f in found], "at": [f[1] for f in found], "value": [f[2][f[1]] for f in found]})
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fits on the documents of `docs` whose language is known."""
-    known = docs.select(F.col(id_col).cast("string").alias("did"), F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, MAX_CHARS).alias("txt")).filter("lang IS NOT NULL AND txt IS NOT NULL")
-    counts = known.groupBy("lang").count().filter(F.col("count") >= MIN_PER_LANG).orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    sample, most = None, min(MAX_PER_LANG, max(2, MAX_ROWS // max(1, len(counts))))
-    for row in counts:
-        part = known.filter(F.col("lang") == row["lang"])
-        # Thinned by hash first, so that the top-k moves about as many rows as it keeps.
-        share = min(1.0, 3 * most / row["count"])
-        part = part.filter(F.pmod(F.xxhash64(F.lit(5), "did"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("did"), "did").limit(most)
-        sample = part if sample is None else sample.union(part)
-    if sample is None:
+    """Fits on the documents of `docs` whose language is known. Rows that share an id and a language count once, with the largest text."""
+    known = docs.select(F.col(id_col).cast("string").alias("did"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("txt")).filter("lang IS NOT NULL AND txt IS NOT NULL AND did IS NOT NULL")
+    n_langs = known.agg(F.count_distinct("lang")).first()[0]
+    if not n_langs:
         return None
-    words = Words()
-    rows = sorted((r["lang"], r["txt"]) for r in sample.toLocalIterator())
-    vectors = [(lang, features(txt, words)) for lang, txt in rows]
-    vectors = [(lang, v) for lang, v in vectors if v is not None]
+    # Ids only; a window with a limit keeps the first rows of each language in every task before the shuffle.
+    most = max(1, min(MAX_PER_LANG, MAX_ROWS // n_langs))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("did"), "did"))
+    drawn = known.select("did", "lang").withColumn("place", place).filter(F.col("place") <= most).select("did", "lang").distinct()
+    # At most MAX_ROWS ids, or one for each language.
+    texts = known.join(F.broadcast(drawn), ["did", "lang"]).groupBy("did", "lang").agg(F.max("txt").alias("txt"))
+    rows = texts.select("lang", "txt").mapInPandas(_sparse, "lang string, at array<int>, value array<float>")
+    found = sorted(((r["lang"], np.array(r["at"], np.int64).tobytes(), np.array(r["value"], np.float32).tobytes()) for r in rows.toLocalIterator()))
+    vectors = []
+    for lang, at, value in found:
+        v = np.zeros(2 * BUCKETS, np.float32)
+        v[np.frombuffer(at, np.int64)] = np.frombuffer(value, np.float32)
+        vectors.append((lang, v))
     names = sorted({lang for lang, _ in vectors})
     if not names:
         return None

@@ -37,3 +37,16 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in li.identify(odd, None).collect()} == {"und"}
     one = li.train(docs.filter("lang = 'aa'"))
     assert li.identify(odd.filter("doc_id = 5"), one).first().lang_pred == "aa"
+
+
+def test_every_language_is_learned_from_whole_texts(spark, monkeypatch):
+    """A language of one document, and one that shows only behind 8,000 characters; ids that repeat don't make the sample larger."""
+    rng = np.random.default_rng(3)
+    rows = [(i, make("aa", rng, 30), "aa") for i in range(20)] + [(100, make("ba", rng, 30), "ba"), (101, "- " * 5000 + make("bb", rng, 300), "bb")]
+    rows += [(5, rows[5][1], "aa")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(li, "MAX_ROWS", 6)
+    model = li.train(docs)
+    assert sorted(k for f in model.families for k in f) == ["aa", "ba", "bb"]
+    asked = spark.createDataFrame([(1, make("aa", rng, 40), 1, "x"), (2, make("ba", rng, 40), 2, "y")], "doc_id long, text string, lang_pred int, txt string")
+    assert {(r.doc_id, r.lang_pred) for r in li.identify(asked, model).collect()} == {(1, "aa"), (2, "ba")}
