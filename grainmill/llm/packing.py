@@ -162,7 +162,7 @@ def candidates(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray) -> t
 
 def best_cuts(places: list[int], cost: list[int], size: int = SIZE) -> list[int]:
     """The places to cut at, from the first to the last, of least total cost."""
-    exact = [1 << k for k in range(7, 12) if 1 << k < size]
+    exact = [1 << k for k in range(size.bit_length()) if 1 << k < size]
     index = {p: i for i, p in enumerate(places)}
     n = len(places)
     total, before = [0] * n, [0] * n

@@ -67,7 +67,7 @@ def test_cuts_are_the_best():
 
         def price(cuts, places=places, cost=cost, size=size):
             at = dict(zip(places, cost))
-            return sum((0 if (n := b - a) in (128, 256) else size - n) + pk.WINDOW + at[b] for a, b in pairwise(cuts))
+            return sum((0 if (n := b - a) & (n - 1) == 0 else size - n) + pk.WINDOW + at[b] for a, b in pairwise(cuts))
 
         best = [0] + [None] * (len(places) - 1)
         for j in range(1, len(places)):
