@@ -16,11 +16,18 @@ U64 = np.uint64
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def local_checkpoints(sc) -> str:
+    """A folder on this machine, which only holds what every task sees if driver and tasks are one process."""
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one of our own where the cluster names none (tests)."""
+    """The shared folder of the cluster, or one of our own where there is no cluster; on a cluster without one this is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or local_checkpoints(sc))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
