@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and calls one operator of grainmill.llm on all rows it gets; all but the last
 return the columns of `documents`, with n_chars counted anew where the text changes. `run` chains them, cutting the
-lineage in the shared checkpoint folder after each stage.
+lineage in the shared checkpoint folder after each stage. A stage called on its own lowers the session's number of rows in
+an Arrow batch (whole texts in little memory), since the setting counts when its result is executed; `run` restores it.
 """
 
 from __future__ import annotations
@@ -62,9 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
+    """All stages over `documents`. All but the last are done when this returns; the session's batch size is then as before."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            docs = stage(spark, docs, sf_dir)
+            if name != STAGES[-1][0]:
+                docs = cut(docs)
+    finally:
+        spark.conf.set(batch, before)
     return docs
