@@ -63,17 +63,19 @@ def judge_declared(declared: DataFrame, registry: DataFrame, private_reason: str
 
 
 def match_imports(imports: DataFrame, declared: DataFrame) -> DataFrame:
-    """JN01, JN02: (project_root, seq, dep_seq): each import's first declaration that names its top level or a dotted prefix of its module.
+    """JN01, JN02, JN04: (project_root, seq, dep_seq): each import's first declaration that names its top level or a dotted prefix of its module.
 
-    The prefix test is an equi-join on the exploded prefixes of the module, not a nested loop.
+    Both sides are named as the declaration's ecosystem names packages. The prefix test is an equi-join on the exploded
+    prefixes of the module, not a nested loop; a prefix is named only in the ecosystems that its project declares.
     """
     steps = F.split("module", r"\.")
     prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), ".")))
     keys = imports.select("project_root", "seq", prefix.alias("p")).union(imports.select("project_root", "seq", F.col("top_level")))
-    keys = keys.select("project_root", "seq", canonical_name(F.lit("pypi"), F.col("p")).alias("key")).distinct()
-    deps = declared.select("project_root", canonical_name(F.col("ecosystem"), F.col("name")).alias("key"), F.col("seq").alias("dep_seq"))
-    deps = deps.groupBy("project_root", "key").agg(F.min("dep_seq").alias("dep_seq"))
-    return keys.join(deps, ["project_root", "key"]).groupBy("project_root", "seq").agg(F.min("dep_seq").alias("dep_seq"))
+    keys = keys.join(declared.select("project_root", "ecosystem").distinct(), "project_root")
+    keys = keys.select("project_root", "seq", "ecosystem", canonical_name(F.col("ecosystem"), F.col("p")).alias("key")).distinct()
+    deps = declared.select("project_root", "ecosystem", canonical_name(F.col("ecosystem"), F.col("name")).alias("key"), F.col("seq").alias("dep_seq"))
+    deps = deps.groupBy("project_root", "ecosystem", "key").agg(F.min("dep_seq").alias("dep_seq"))
+    return keys.join(deps, ["project_root", "ecosystem", "key"]).groupBy("project_root", "seq").agg(F.min("dep_seq").alias("dep_seq"))
 
 
 def externals(imports: DataFrame, declared: DataFrame, internal: Column) -> DataFrame:
@@ -129,3 +131,15 @@ def longest_prefix(modules: DataFrame, curated: DataFrame) -> DataFrame:
     rows = modules.select("module").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.size(steps)))).withColumn("prefix", F.array_join(F.slice(steps, 1, F.col("k")), "."))
     best = rows.join(curated, "prefix").groupBy("module").agg(F.max_by("coords", "k").alias("coords"), F.max_by("prefix", "k").alias("prefix"))
     return modules.join(best, "module", "left")
+
+
+def server_violations(found: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """N006: client-only use (the per-file hits of N003) in files that an entry reaches as server code.
+
+    `found`: facts with their kind; `entries`: node; `edges`: src, dst, resolved. Files marked as client code are the boundary.
+    """
+    from grainmill.operators.graphs import two_contexts
+
+    reached = two_contexts(entries, edges, found.filter("kind = 'client'").select(F.col("rel").alias("node")))
+    server = reached.filter("context = 'server'").select(F.col("node").alias("rel"))
+    return found.filter("kind = 'N003'").join(server, "rel", "left_semi").withColumn("kind", F.lit("N006"))

@@ -220,7 +220,7 @@ def _typescript(text: str, code: str):
         key = re.search(rf"key=\{{\s*{m.group(1)}\s*\}}", code[m.end() : m.end() + 400])
         if key:
             yield "R006", line + code.count("\n", m.end(), m.end() + key.start()), m.group(1), "index as key"
-    for line, _ in _lines(r"dangerouslySetInnerHTML=\{\{\s*__html:\s*(?!DOMPurify|['\"`])", code):
+    for line, _ in _lines(r"dangerouslySetInnerHTML=\{\{\s*__html:\s*+(?!DOMPurify|['\"`])", code):
         yield "R007", line, "", "raw HTML"
     for line, m in _lines(rf"^(?:export\s+)?function\s+([a-z]\w*)\s*\([^)]*\)[^{{]*\{{[^}}]*\b({HOOKS})\b", code, re.MULTILINE):
         if not re.match(r"use[A-Z]", m.group(1)):
@@ -256,7 +256,7 @@ def extract(files: DataFrame) -> DataFrame:
 def source_lines(files: DataFrame) -> DataFrame:
     """EXT02: (rel, line, text), without an empty line after a last newline."""
     text = F.col("content").cast("string")
-    lines = F.split(F.regexp_replace(text, r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r")
+    lines = F.split(F.regexp_replace(text, r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")
     return files.filter("skipped IS NULL AND length > 0").select("rel", F.posexplode(lines).alias("pos", "text")).select("rel", (F.col("pos") + 1).alias("line"), "text")
 
 
