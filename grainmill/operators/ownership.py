@@ -28,10 +28,19 @@ def assign(findings: DataFrame, owned: DataFrame, roots: DataFrame) -> DataFrame
     return safe.join(exact, "file", "left").join(deepest_root(safe, roots), "file", "left").withColumn("owner", F.coalesce("own", "root", F.lit("repository"))).drop("own", "root")
 
 
+#: Lines in a block of range joins.
+BUCKET = 64
+
+
 def in_range(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, first: str, last: str) -> DataFrame:
-    """JN10, JN11: points within ranges of the same file. The equi-keys carry the join; the range is its residual."""
-    p, r = points.alias("p"), ranges.alias("r")
-    same = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys]
+    """JN10, JN11: points within ranges of the same file. Files and blocks of BUCKET lines are equi-keys; the range is a residual within a block.
+
+    Points are in one block and ranges in each that they touch, so that a match is met once.
+    """
+    blocks = F.explode(F.sequence(F.floor(F.col(first) / BUCKET), F.floor(F.col(last) / BUCKET)))
+    p = points.withColumn("__block", F.floor(F.col(at) / BUCKET)).alias("p")
+    r = ranges.filter(F.col(first) <= F.col(last)).withColumn("__block", blocks).alias("r")
+    same = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in [*keys, "__block"]]
     cond = F.col(f"p.{at}").between(F.col(f"r.{first}"), F.col(f"r.{last}"))
     for c in same:
         cond = c & cond
@@ -39,10 +48,13 @@ def in_range(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, fir
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], first: str = "start_line", last: str = "end_line") -> DataFrame:
-    """JN12: pairs of ranges of the same file that share a line."""
-    x, y = a.alias("a"), b.alias("b")
+    """JN12: pairs of ranges of the same file that share a line. Both are in each block of BUCKET lines that they touch; a pair counts in its first common one."""
+    block = lambda line: F.floor(line / BUCKET)
+    in_blocks = lambda rows: rows.filter(F.col(first) <= F.col(last)).withColumn("__block", F.explode(F.sequence(block(F.col(first)), block(F.col(last)))))
+    x, y = in_blocks(a).alias("a"), in_blocks(b).alias("b")
     cond = (F.col(f"a.{first}") <= F.col(f"b.{last}")) & (F.col(f"b.{first}") <= F.col(f"a.{last}"))
-    for k in keys:
+    cond = (F.col("a.__block") == F.greatest(block(F.col(f"a.{first}")), block(F.col(f"b.{first}")))) & cond
+    for k in [*keys, "__block"]:
         cond = (F.col(f"a.{k}") == F.col(f"b.{k}")) & cond
     return x.join(y, cond)
 

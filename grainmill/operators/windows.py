@@ -76,6 +76,14 @@ def last_write(events: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("__last")).select(*keys, "__last.*")
 
 
+def places(rows: DataFrame, first: str, rest: list[str]) -> DataFrame:
+    """WN08: rows with their place in the order of `first` and `rest` (long, from 1). Only the counts by `first` are summed in one task; rows are numbered by group."""
+    counts = rows.groupBy(first).agg(F.count("*").alias("__n"))
+    before = counts.select(first, (F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy(first)) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
+    return rows.withColumn("__own", own).join(before, first).withColumn("place", (F.col("__before") + F.col("__own")).cast("long")).drop("__own", "__before")
+
+
 def fold_items(events: DataFrame, keys: list[str]) -> DataFrame:
     """SRC12, WN15: Include, Remove and Update events in order, folded to a presence: definite stays definite under a conditional Include.
 

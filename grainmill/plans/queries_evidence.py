@@ -86,10 +86,10 @@ def trace(spark, sf):
     return V.trace(reads, i.filter("seq % 97 = 0").select("file", F.col("top_level").alias("symbol")))
 
 
-@add("jn11_candidates", "SELECT f.seq, list_sort(list_distinct(list(u.sample_id))) AS units FROM {findings} f JOIN {units} u ON concat('f', f.seq % 15) = u.file AND f.line BETWEEN u.start_line AND u.end_line WHERE f.seq % 50 = 0 AND u.bytes < 1500 GROUP BY f.seq")
+@add("jn11_candidates", "SELECT f.seq, list_sort(list_distinct(list(u.sample_id))) AS units FROM {findings} f JOIN {spans} u ON concat('f', f.seq) = u.file AND f.line BETWEEN u.start_line AND u.end_line GROUP BY f.seq")
 def candidate_units(spark, sf):
-    f = relation(spark, sf, "findings").filter("seq % 50 = 0").select("seq", "line", F.concat(F.lit("f"), F.col("seq") % 15).alias("file"))
-    met = O.in_range(f, relation(spark, sf, "units").filter("bytes < 1500"), ["file"], "line", "start_line", "end_line")
+    f = relation(spark, sf, "findings").select("seq", "line", F.concat(F.lit("f"), F.col("seq")).alias("file"))
+    met = O.in_range(f, relation(spark, sf, "spans"), ["file"], "line", "start_line", "end_line")
     return met.groupBy(F.col("p.seq").alias("seq")).agg(F.sort_array(F.collect_set("r.sample_id")).alias("units"))
 
 
@@ -100,11 +100,9 @@ def first_per_name(spark, sf):
     return first_per(relation(spark, sf, "declared").withColumn("k", F.lower("name")), ["project_root", "k"], ["seq"]).select("project_root", "k", "seq")
 
 
-@add("wn08_order", "SELECT seq, row_number() OVER (ORDER BY file, line, rule_id, engine, seq) AS place FROM {findings} QUALIFY place <= 500")
+@add("wn08_order", "SELECT seq, row_number() OVER (ORDER BY file, line, rule_id, engine, seq) AS place FROM {findings}")
 def canonical_order(spark, sf):
-    top = relation(spark, sf, "findings").orderBy("file", "line", "rule_id", "engine", "seq").limit(500)
-    # Five hundred rows are numbered.
-    return top.select("seq", F.row_number().over(W.Window.partitionBy(F.lit(1)).orderBy("file", "line", "rule_id", "engine", "seq")).cast("long").alias("place"))
+    return W.places(relation(spark, sf, "findings"), "file", ["line", "rule_id", "engine", "seq"]).select("seq", "place")
 
 
 @add("wn09_sorted_page", f"SELECT seq FROM {STATES} ORDER BY rule_id DESC, project_root, file, line, seq LIMIT 15 OFFSET 30")
@@ -146,7 +144,7 @@ def library(spark, sf):
     return W.top_per(relation(spark, sf, "orders").filter("o_orderstatus <> 'P'"), ["o_custkey"], [F.desc("o_orderkey")], 10).select("o_custkey", "o_orderkey")
 
 
-@add("sc05_tree_redaction", "SELECT seq, 'token=***' AS title, snippet FROM {findings} WHERE seq < 200")
+@add("sc05_tree_redaction", "SELECT seq, 'token=***' AS title, snippet FROM {findings}")
 def tree_redaction(spark, sf):
-    rows = findings(spark, sf).filter("seq < 200").withColumn("title", F.concat(F.lit("token="), "title").substr(1, 9))
+    rows = findings(spark, sf).withColumn("title", F.concat(F.lit("token="), "title").substr(1, 9))
     return rows.withColumn("title", F.regexp_replace("title", " .*", "")).select("seq", *S.redact_struct(["title", "snippet"]))

@@ -165,11 +165,11 @@ def source_window(spark, sf):
     return relation(spark, sf, "lines").join(spans, "doc_id").filter("line BETWEEN a AND b").select("doc_id", "line", "text")
 
 
-@add("qs08_batch", """WITH b AS (SELECT finding_seq AS seq, status, updated_at % 2 = 0 AS confirmed FROM {reviews} WHERE updated_at < 300), k AS (SELECT seq, level FROM {findings} WHERE seq % 3 > 0)
+@add("qs08_batch", """WITH b AS (SELECT finding_seq AS seq, status, updated_at % 2 = 0 AS confirmed FROM {reviews}), k AS (SELECT seq, level FROM {findings} WHERE seq % 3 > 0)
 SELECT n, unknown, CASE WHEN n > 5000 THEN 'too_many' WHEN d < n THEN 'duplicate' WHEN unknown > 0 THEN 'unknown' WHEN e > 0 THEN 'unconfirmed_error' END AS reason FROM (SELECT count(*) AS n, count(DISTINCT seq) AS d FROM b),
 (SELECT count(*) AS unknown FROM b WHERE seq NOT IN (SELECT seq FROM k)), (SELECT count(*) AS e FROM b JOIN k USING (seq) WHERE level = 'error' AND status = 'dismissed' AND NOT confirmed)""")
 def batch(spark, sf):
-    b = relation(spark, sf, "reviews").filter("updated_at < 300").select(F.col("finding_seq").alias("seq"), "status", (F.col("updated_at") % 2 == 0).alias("confirmed"))
+    b = relation(spark, sf, "reviews").select(F.col("finding_seq").alias("seq"), "status", (F.col("updated_at") % 2 == 0).alias("confirmed"))
     return E.check_batch(b, relation(spark, sf, "findings").filter("seq % 3 > 0").select("seq", "level"), 5000)
 
 
@@ -208,9 +208,9 @@ def hints(spark, sf):
 
 
 @add("ai06_evidence", r"""SELECT doc_id, CASE WHEN n = 0 THEN 'insufficient' WHEN regexp_matches(t, 'token\s*=\s*"[0-9a-f]{32,}"') THEN 'supported' WHEN regexp_matches(t, '(changeme|example\.com)') THEN 'unsupported' ELSE 'insufficient' END AS verdict
-FROM (SELECT doc_id, count(*) FILTER (line <= 30) AS n, string_agg(text, chr(10) ORDER BY line) FILTER (line <= 30) AS t FROM {lines} GROUP BY doc_id)""")
+FROM (SELECT doc_id, count(*) AS n, string_agg(text, chr(10) ORDER BY line) AS t FROM {lines} GROUP BY doc_id)""")
 def evidence(spark, sf):
-    cited = relation(spark, sf, "lines").filter("line <= 30")
+    cited = relation(spark, sf, "lines")
     flag = lambda p: F.bool_or(F.col("text").rlike(p))
     rows = cited.groupBy("doc_id").agg(flag(r'token\s*=\s*"[0-9a-f]{32,}"').alias("yes"), flag(r"(changeme|example\.com)").alias("no"))
     return rows.select("doc_id", F.when(F.col("yes"), "supported").when(F.col("no"), "unsupported").otherwise("insufficient").alias("verdict"))

@@ -26,10 +26,11 @@ CANON = "lower(regexp_replace({0}, '[-_.]+', '-', 'g'))"
 CHECKABLE = f"""SELECT *, {CANON.format("coalesce(nullif(registry_name, ''), name)")} AS lookup_name
   FROM (SELECT *, row_number() OVER (PARTITION BY project_root, lower(name) ORDER BY seq) AS k FROM {{declared}} WHERE NOT skip_registry) WHERE k = 1"""
 STATUS = "CASE WHEN quarantined THEN 'H009' WHEN archived THEN 'H012' WHEN age_days < 90 AND downloads < CASE downloads_period WHEN 'total' THEN 1500 ELSE 500 END THEN 'H005' WHEN age_days < 90 THEN 'H006' END"
-MATCHED = f"""SELECT i.project_root, i.seq, min(d.seq) AS dep_seq FROM {{imports}} i JOIN {{declared}} d ON d.project_root = i.project_root AND (
-  {CANON.format("d.name")} = {CANON.format("i.top_level")} OR {CANON.format("d.name")} = {CANON.format("i.module")} OR starts_with({CANON.format("i.module")}, {CANON.format("d.name")} || '-')) GROUP BY ALL"""
+MATCHED = f"""SELECT k.project_root, k.seq, min(d.seq) AS dep_seq FROM (SELECT DISTINCT project_root, seq, {CANON.format("p")} AS k FROM (SELECT project_root, seq, array_to_string(string_split(module, '.')[1:n], '.') AS p
+  FROM {{imports}} AS spelled, range(1, 9) r(n) WHERE n <= len(string_split(module, '.')) UNION ALL SELECT project_root, seq, top_level FROM {{imports}} AS named)) k
+  JOIN (SELECT project_root, {CANON.format("name")} AS k, min(seq) AS seq FROM {{declared}} GROUP BY 1, 2) d ON d.project_root = k.project_root AND d.k = k.k GROUP BY ALL"""
 EXTERNAL = f"""SELECT * FROM (SELECT i.*, row_number() OVER (PARTITION BY i.project_root, lower(top_level) ORDER BY i.seq) AS k FROM {{imports}} i
-  WHERE NOT (module = 'pkg3' OR starts_with(module, 'pkg3.')) AND NOT EXISTS (SELECT 1 FROM ({MATCHED}) m WHERE m.project_root = i.project_root AND m.seq = i.seq)) WHERE k = 1"""
+  WHERE NOT (module = 'pkg3' OR starts_with(module, 'pkg3.')) AND (i.project_root, i.seq) NOT IN (SELECT (m.project_root, m.seq) FROM ({MATCHED}) m)) WHERE k = 1"""
 
 
 def imports_of(spark, sf):
@@ -125,19 +126,16 @@ def ownership(spark, sf):
     return O.assign(relation(spark, sf, "findings"), F.broadcast(owned), F.broadcast(roots)).select("seq", "file", "owner")
 
 
-@add("jn10_range", """SELECT f.seq, u.sample_id FROM {findings} f JOIN {units} u ON concat('f', f.seq % 15) = u.file AND f.line BETWEEN u.start_line AND u.end_line
-WHERE f.seq % 20 = 0 AND u.bytes < 1500""")
+@add("jn10_range", """SELECT f.seq, u.sample_id FROM {findings} f JOIN {spans} u ON concat('f', f.seq) = u.file AND f.line BETWEEN u.start_line AND u.end_line""")
 def ranges(spark, sf):
-    f = relation(spark, sf, "findings").filter("seq % 20 = 0").select("seq", "line", F.concat(F.lit("f"), F.col("seq") % 15).alias("file"))
-    u = relation(spark, sf, "units").filter("bytes < 1500")
-    return O.in_range(f, u, ["file"], "line", "start_line", "end_line").select("p.seq", "r.sample_id")
+    f = relation(spark, sf, "findings").select("seq", "line", F.concat(F.lit("f"), F.col("seq")).alias("file"))
+    return O.in_range(f, relation(spark, sf, "spans"), ["file"], "line", "start_line", "end_line").select("p.seq", "r.sample_id")
 
 
-@add("jn12_overlap", """SELECT a.sample_id AS a, b.sample_id AS b FROM {units} a JOIN {units} b ON a.file = b.file AND a.repo_id = b.repo_id AND a.start_line <= b.end_line AND b.start_line <= a.end_line
-WHERE a.bytes < 2000 AND b.bytes BETWEEN 2000 AND 4000""")
+@add("jn12_overlap", """SELECT a.sample_id AS a, b.sample_id AS b FROM {spans} AS a JOIN {spans} AS b ON a.file = b.file AND a.start_line <= b.end_line AND b.start_line <= a.end_line AND a.side = 0 AND b.side = 1""")
 def overlaps(spark, sf):
-    u = relation(spark, sf, "units")
-    return O.overlapping(u.filter("bytes < 2000"), u.filter("bytes BETWEEN 2000 AND 4000"), ["file", "repo_id"]).select(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b"))
+    u = relation(spark, sf, "spans")
+    return O.overlapping(u.filter("side = 0"), u.filter("side = 1"), ["file"]).select(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b"))
 
 
 @add("jn13_one_to_one", """SELECT sample_id, CASE WHEN nb IS NULL THEN 'missing' WHEN na IS NULL THEN 'stray' ELSE 'duplicate' END AS violation FROM
@@ -163,12 +161,12 @@ def resolved(spark, sf):
     return O.resolve(specs, files, ["", ".ts", ".tsx", "/index.ts", "/index.js"])
 
 
-@add("jn18_routes", """WITH r AS (SELECT concat('http:/', n_nationkey % 3, '/', n_name) AS route, concat('f', n_nationkey) AS rel FROM nation), l AS (SELECT DISTINCT concat('http:/', c_custkey % 3, '/', n_name, CASE WHEN c_custkey % 2 = 0 THEN '/x/y' ELSE 'z' END) AS literal FROM customer, nation WHERE c_custkey < 40)
+@add("jn18_routes", """WITH r AS (SELECT concat('http:/', n_nationkey % 3, '/', n_name) AS route, concat('f', n_nationkey) AS rel FROM nation), l AS (SELECT DISTINCT concat('http:/', c_custkey % 3, '/', n_name, CASE WHEN c_custkey % 2 = 0 THEN '/x/y' ELSE 'z' END) AS literal FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT literal, min(rel) AS rel FROM l JOIN r ON literal = route OR starts_with(literal, route || '/') GROUP BY literal""")
 def routes(spark, sf):
     n = relation(spark, sf, "nation")
     r = n.select(F.expr("concat('http:/', n_nationkey % 3, '/', n_name)").alias("route"), F.expr("concat('f', n_nationkey)").alias("rel"))
-    some = relation(spark, sf, "customer").filter("c_custkey < 40").crossJoin(F.broadcast(n.select("n_name")))
+    some = relation(spark, sf, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
     lit = some.select(F.expr("concat('http:/', c_custkey % 3, '/', n_name, CASE WHEN c_custkey % 2 = 0 THEN '/x/y' ELSE 'z' END)").alias("literal")).distinct()
     return O.route_target(lit, r)
 

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from grainmill.operators import report as P
-from grainmill.plans.queries_scores import LEVELLED, findings, scores
+from grainmill.plans.queries_scores import LEVELLED, PACKED, findings, packed, scores
 from grainmill.plans.relations import duck, relation
 from grainmill.streaming import incremental as N
 
@@ -24,10 +24,10 @@ def add(key, sql=None):
     return keep
 
 
-@add("snk01_report_json", f"SELECT p.project_root AS root, count(f.seq) AS n, coalesce(min(f.line), -1) AS first_line FROM {{projects}} p LEFT JOIN {LEVELLED} f USING (project_root) GROUP BY 1")
+@add("snk01_report_json", f"SELECT p.project_root AS root, count(f.seq) AS n, coalesce(min(f.line), -1) AS first_line FROM {{packages}} p LEFT JOIN {PACKED} f USING (project_root) GROUP BY 1")
 def report_json(spark, sf):
     """Nested by project and taken apart again."""
-    rows = P.nested(findings(spark, sf), scores(spark, sf))
+    rows = P.nested(packed(spark, sf), scores(spark, sf))
     return rows.select("root", F.size("findings").cast("long").alias("n"), F.coalesce(F.array_min(F.transform("findings", lambda f: f["line"])), F.lit(-1)).alias("first_line"))
 
 

@@ -33,8 +33,9 @@ def findings(spark, sf):
 
 LEVELLED = f"(SELECT * REPLACE ({LEVEL} AS level) FROM {{findings}})"
 COUNTS = "count(*) FILTER (level = 'error') AS n_error, count(*) FILTER (level = 'warning') AS n_warning, count(*) FILTER (level = 'note') AS n_note, count(*) AS n"
+PACKED = f"(SELECT * REPLACE (concat('k', CAST(floor(seq / 8) AS BIGINT)) AS project_root) FROM {LEVELLED})"
 SCORES = f"""(SELECT p.*, coalesce(n_error, 0) AS n_error, coalesce(n_warning, 0) AS n_warning, coalesce(n_note, 0) AS n_note, coalesce(n, 0) AS n, greatest(0, 100 - 15 * coalesce(n_error, 0) - 5 * coalesce(n_warning, 0)) AS score
-FROM {{projects}} p LEFT JOIN (SELECT project_root, {COUNTS} FROM {LEVELLED} WHERE seq % 211 = 0 GROUP BY 1) f USING (project_root))"""
+FROM {{packages}} p LEFT JOIN (SELECT project_root, {COUNTS} FROM {PACKED} GROUP BY 1) f USING (project_root))"""
 
 
 @add("ag01_level_rollup", f"SELECT project_root, {COUNTS} FROM {LEVELLED} GROUP BY ROLLUP (project_root)")
@@ -42,8 +43,13 @@ def level_rollup(spark, sf):
     return R.level_counts(findings(spark, sf))
 
 
+def packed(spark, sf):
+    """Findings with small projects, so that scores differ."""
+    return findings(spark, sf).withColumn("project_root", F.expr("concat('k', CAST(floor(seq / 8) AS BIGINT))"))
+
+
 def scores(spark, sf):
-    return R.project_scores(relation(spark, sf, "projects"), findings(spark, sf).filter("seq % 211 = 0"))
+    return R.project_scores(relation(spark, sf, "packages"), packed(spark, sf))
 
 
 @add("ag02_health", f"SELECT project_root, n_error, n_warning, n_note, n, score FROM {SCORES}")
@@ -51,7 +57,7 @@ def health(spark, sf):
     return scores(spark, sf).select("project_root", "n_error", "n_warning", "n_note", "n", "score")
 
 
-@add("ag03_overall", f"SELECT CAST(round_even(sum(score * greatest(1, file_count)) / sum(greatest(1, file_count)), 0) AS BIGINT) AS overall, min_by(language, score * 1000 + seq) AS lowest FROM {SCORES}")
+@add("ag03_overall", f"SELECT CAST(round_even(sum(score * greatest(1, file_count)) / sum(greatest(1, file_count)), 0) AS BIGINT) AS overall, min_by(language, score * 1000000000000 + seq) AS lowest FROM {SCORES}")
 def overall(spark, sf):
     return R.overall(scores(spark, sf))
 
@@ -145,11 +151,11 @@ def baseline_summary(spark, sf):
     return B.summary(with_print(relation(spark, sf, "findings")), with_print(relation(spark, sf, "prior")))
 
 
-@add("wn02_context_spans", """WITH hits AS (SELECT DISTINCT file, CAST(line AS BIGINT) AS line, CAST(90 AS BIGINT) AS total FROM {findings} WHERE seq % 37 = 0), s AS (SELECT file, greatest(1, line - 5) AS a, least(total, line + 5) AS b FROM hits),
+@add("wn02_context_spans", """WITH hits AS (SELECT DISTINCT file, CAST(line AS BIGINT) AS line, CAST(90 AS BIGINT) AS total FROM {findings}), s AS (SELECT file, greatest(1, line - 5) AS a, least(total, line + 5) AS b FROM hits),
 m AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY file ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS isnew FROM (SELECT DISTINCT * FROM s)),
 i AS (SELECT *, sum(isnew) OVER (PARTITION BY file ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT file, min(a) AS a, max(b) AS b FROM i GROUP BY file, island""")
 def spans(spark, sf):
-    hits = relation(spark, sf, "findings").filter("seq % 37 = 0").select("file", F.col("line").cast("long").alias("line"), F.lit(90).cast("long").alias("total"))
+    hits = relation(spark, sf, "findings").select("file", F.col("line").cast("long").alias("line"), F.lit(90).cast("long").alias("total"))
     return W.context_spans(hits, 5, ["file"])
 
 
@@ -163,26 +169,28 @@ def top(spark, sf):
     return W.top_per(relation(spark, sf, "units"), ["stratum"], [F.desc("bytes"), F.col("sample_id")], 12).select("stratum", "sample_id", "rank")
 
 
-@add("wn07_key_blocks", """SELECT grp, line FROM (VALUES (1, 1), (2, 1), (5, 2)) t(grp, line)""")
+@add("wn07_key_blocks", """SELECT o_orderkey AS grp, CASE o_orderkey % 7 WHEN 5 THEN 2 ELSE 1 END AS line FROM orders WHERE o_orderkey % 7 IN (1, 2, 5)""")
 def key_blocks(spark, sf):
+    """Each order is a text of one of seven kinds; three of them hold a key block."""
     body, begin = "A" * 44, "-----BEGIN RSA PRIVATE KEY-----"
     texts = {1: [begin, body, "-----END"], 2: [f'k = "{begin}\\n{body}\\n-----END"'], 3: [begin, "MIIBROKEN", "-----END RSA PRIVATE KEY-----", body], 4: [begin, "", "", "", body], 5: ["x", begin, "short", body], 6: [body]}
-    rows = spark.createDataFrame([(g, n + 1, t) for g, ls in texts.items() for n, t in enumerate(ls)], "grp int, line int, text string")
+    kinds = spark.createDataFrame([(g, n + 1, t) for g, ls in texts.items() for n, t in enumerate(ls)], "kind long, line int, text string")
+    rows = relation(spark, sf, "orders").select(F.col("o_orderkey").alias("grp"), (F.col("o_orderkey") % 7).alias("kind")).join(F.broadcast(kinds), "kind").select("grp", "line", "text")
     return W.key_blocks(rows, ["grp"]).select("grp", "line")
 
 
-@add("wn11_stratified", """WITH u AS (SELECT stratum, repo_id AS project, sample_id AS key, bytes % 97 = 0 AS mandatory FROM {units} WHERE bytes < 20000), r AS (SELECT *, row_number() OVER (PARTITION BY stratum, project ORDER BY mandatory DESC, key) AS turn FROM u),
+@add("wn11_stratified", """WITH u AS (SELECT stratum, repo_id AS project, sample_id AS key, bytes % 9973 = 0 AS mandatory FROM {units}), r AS (SELECT *, row_number() OVER (PARTITION BY stratum, project ORDER BY mandatory DESC, key) AS turn FROM u),
 n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY turn, project, key) AS k, (SELECT count(*) FROM u x WHERE x.stratum = r.stratum AND x.mandatory) AS must FROM r WHERE NOT mandatory)
 SELECT stratum, project, key FROM u WHERE mandatory UNION ALL SELECT stratum, project, key FROM n WHERE k <= 40 - must""")
 def stratified(spark, sf):
-    rows = relation(spark, sf, "units").filter("bytes < 20000").select("stratum", F.col("repo_id").alias("project"), F.col("sample_id").alias("key"), (F.col("bytes") % 97 == 0).alias("mandatory"))
+    rows = relation(spark, sf, "units").select("stratum", F.col("repo_id").alias("project"), F.col("sample_id").alias("key"), (F.col("bytes") % 9973 == 0).alias("mandatory"))
     return W.stratified_round_robin(rows, 40)
 
 
-@add("wn12_quota", """WITH s AS (SELECT stratum, count(*) AS n FROM {units} WHERE bytes % 5 < 2 GROUP BY 1), h AS (SELECT *, n / (SELECT sum(n) FROM s) * 100 AS share FROM s), q AS (SELECT *, least(floor(share), floor(n * 0.9)) AS q0 FROM h),
+@add("wn12_quota", """WITH s AS (SELECT stratum, count(*) AS n FROM {units} GROUP BY 1), h AS (SELECT *, n / (SELECT sum(n) FROM s) * 100 AS share FROM s), q AS (SELECT *, least(floor(share), floor(n * 0.9)) AS q0 FROM h),
 o AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, stratum) AS k, 100 - (SELECT sum(q0) FROM q) AS room FROM q) SELECT stratum, n, CAST(q0 + CASE WHEN k <= room AND q0 < floor(n * 0.9) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM o""")
 def quota(spark, sf):
-    return W.proportional_quota(relation(spark, sf, "units").filter("bytes % 5 < 2").groupBy("stratum").agg(F.count("*").alias("n")), 100, 0.9)
+    return W.proportional_quota(relation(spark, sf, "units").groupBy("stratum").agg(F.count("*").alias("n")), 100, 0.9)
 
 
 @add("wn13_bottom_k", "SELECT repo_id, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY sha256(sample_id)) AS k FROM {units}) WHERE k <= 25")
@@ -245,7 +253,7 @@ def selection(spark, sf):
     return B.selected(relation(spark, sf, "findings").filter("line < 50").select("seq"), picked, True, "seq")
 
 
-@add("st08_catalog", f"SELECT rule_id, list_sort(list_distinct(list(language))) AS languages, count(DISTINCT concat(engine, precision)) > 1 AS conflict FROM {{findings}} WHERE seq % 13 = 0 OR rule_id = 'H001' GROUP BY rule_id")
+@add("st08_catalog", f"SELECT rule_id, list_sort(list_distinct(list(language))) AS languages, count(DISTINCT concat(engine, precision)) > 1 AS conflict FROM {{findings}} GROUP BY rule_id")
 def catalog(spark, sf):
-    rows = relation(spark, sf, "findings").filter("seq % 13 = 0 OR rule_id = 'H001'").select("rule_id", F.array("language").alias("languages"), "engine", "precision")
+    rows = relation(spark, sf, "findings").select("rule_id", F.array("language").alias("languages"), "engine", "precision")
     return B.merge_catalogs(rows)

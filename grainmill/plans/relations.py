@@ -34,7 +34,15 @@ SQL = {
     "projects": """
         SELECT concat('p', n_nationkey) AS project_root, CASE n_nationkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'typescript' END AS language,
                CAST(n_nationkey % 7 AS INT) AS file_count, n_nationkey AS seq
-        FROM {nation} WHERE n_nationkey < 12""",
+        FROM {nation}""",
+    "packages": """
+        SELECT concat('k', CAST(floor(event_id / 8) AS BIGINT)) AS project_root, min(CASE user_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'typescript' END) AS language,
+               CAST(min(user_id % 7) AS INT) AS file_count, CAST(floor(event_id / 8) AS BIGINT) AS seq
+        FROM {events} WHERE event_type <> 'view' GROUP BY 1, 4""",
+    "spans": """
+        SELECT concat('u', l_orderkey, '-', l_linenumber) AS sample_id, concat('f', l_orderkey) AS file, l_linenumber * 10 AS start_line,
+               l_linenumber * 10 + CAST(floor(l_quantity) AS INT) AS end_line, l_partkey % 2 AS side
+        FROM {lineitem}""",
     "registry": """
         SELECT 'pypi' AS ecosystem, concat('pkg-', p_partkey) AS name, p_partkey % 7 <> 0 AS is_there,
                CAST(p_partkey % 120 AS INT) AS age_days, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey * 13 % 3000 END AS downloads,
@@ -48,7 +56,7 @@ SQL = {
                'pypi' AS ecosystem, 'requirements.txt' AS source_file, l_linenumber AS line,
                l_partkey % 31 = 0 AS skip_registry, CASE WHEN l_partkey % 37 = 0 THEN concat('pkg-', l_partkey % 100 + 1) ELSE '' END AS registry_name,
                CASE WHEN l_orderkey % 6 = 0 THEN 'possible' ELSE 'definite' END AS presence
-        FROM {lineitem} WHERE l_linenumber <= 2""",
+        FROM {lineitem}""",
     "imports": """
         SELECT concat('p', o_custkey % 40) AS project_root, o_orderkey AS seq, concat('pkg', o_orderkey % 90, '.sub', o_orderkey % 5, '.Leaf') AS module,
                concat('src/f', o_orderkey % 20, '.py') AS file, CAST(o_orderkey % 200 AS INT) AS line, concat('pkg', o_orderkey % 90) AS top_level
@@ -58,7 +66,7 @@ SQL = {
                c_custkey AS updated_at, c_name AS note FROM {customer}""",
     "edges": """
         SELECT concat('f', s_suppkey % 60) AS src, concat('f', (s_suppkey * 7 + 3) % 60) AS dst FROM {supplier}
-        UNION SELECT concat('f', p_partkey % 60), concat('f', (p_partkey * 11 + 1) % 97) FROM {part} WHERE p_partkey < 160""",
+        UNION SELECT concat('f', p_partkey % 60), concat('f', (p_partkey * 11 + 1) % 97) FROM {part}""",
     "answers": """
         SELECT concat('s', o_orderkey % 1500) AS sample_id, CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS reviewer,
                min(CASE o_orderkey % 7 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'uncertain' ELSE 'confirmed' END) AS label,
