@@ -1,7 +1,8 @@
 """Connected components of an edge table, by rounds of large-star and small-star steps.
 
 Each round only groups edges by a node and takes a minimum, which is aggregated before the shuffle, so a hub with very
-many neighbours is no hot group; in the join back to them the edges of a hub are dealt to several parts. Every round is
+many neighbours is no hot group; the join back to the hub's edges is an equi-join that AQE splits (dealing hubs by hand costs
+the driver a broadcast a step, which passed its memory in the check). Every round is
 checkpointed in the shared folder; nothing but two numbers per round comes to the driver.
 """
 
@@ -10,23 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import cut, hot_keys, salted_join
+from grainmill.llm.common import cut
 
 
 #: Edges that a task takes in at the beginning of a round, so that few edges don't pass through very many tasks.
 EDGES_PER_TASK = 100_000
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One step on `total` edges (u, v) with u > v: neighbours are hung on the smallest node around u. An edge may come out more than once."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step on edges (u, v) with u > v: neighbours are hung on the smallest node around u. An edge may come out more than once."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        hung = salted_join(both, least, ["u"], hot_keys(least, ["u"], 2 * total), ["v"])
-        out = hung.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        hung = salted_join(edges, least, ["u"], hot_keys(least, ["u"], total), ["v"])
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        hung = edges.join(least, "u")
         out = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v")
 
@@ -41,6 +41,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = seen
         now = now.coalesce(1 + seen[0] // EDGES_PER_TASK)
-        now = cut(_star(_star(now, True, seen[0]), False, seen[0]).distinct())
+        now = cut(_star(_star(now, True), False).distinct())
     # Stars by now: every u hangs on one v, and no v hangs on another.
     return cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).coalesce(1 + 2 * (before or [0])[0] // EDGES_PER_TASK))
