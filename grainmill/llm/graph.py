@@ -43,4 +43,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = now.coalesce(1 + seen[0] // EDGES_PER_TASK)
         now = cut(_star(_star(now, True), False).distinct())
     # Stars by now: every u hangs on one v, and no v hangs on another.
-    return cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).coalesce(1 + 2 * (before or [0])[0] // EDGES_PER_TASK))
+    done = cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).coalesce(1 + 2 * (before or [0])[0] // EDGES_PER_TASK))
+    # Spark frees the shuffle files of finished rounds when the driver collects its garbage, which small rounds give it no cause to do.
+    edges.sparkSession.sparkContext._jvm.System.gc()
+    return done
