@@ -235,3 +235,19 @@ def markdown_cell(text: Column) -> Column:
 def internal_name(name: Column, names: list[str], sep: str = ".") -> Column:
     """SC21, SC26: one of the names, or below one of them; the list is a constant of the plan."""
     return F.exists(F.array(*[F.lit(n) for n in names]), lambda p: under(name, p, sep)) if names else F.lit(False)
+
+
+# What marks a value as a reference to a setting or a store of secrets, rather than a secret itself.
+REFERENCE = r"(?i)process\.env|os\.environ|getenv|Environment\.GetEnvironmentVariable|Configuration\s*\[|\.Value\b|SecretClient|GetSecret|key[_-]?vault|\bvault\b|Registry\.Get|Secrets?Manager|\$\{|\$\("
+
+
+def in_quotes(before: Column) -> Column:
+    """Whether what follows `before` on its line is inside a quoted string: an odd number of quotes that no backslash escapes."""
+    return F.length(F.regexp_replace(F.regexp_replace(before, r"\\.", ""), "[^\"']", "")) % 2 == 1
+
+
+def proves_literal(kind: Column, value: Column, before: Column) -> Column:
+    """SC03: whether a redacted value was a literal secret. Blank or masked values and references prove nothing; a bare `token_kv` only inside quotes; a null value proves nothing."""
+    bare = F.regexp_replace(value, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    nothing = value.isNull() | F.regexp_like(bare, F.lit(r"^\**$")) | F.regexp_like(bare, F.lit(REFERENCE))
+    return F.when(kind == "known_token", True).when(nothing, False).when(kind == "token_kv", F.coalesce(in_quotes(before), F.lit(False))).otherwise(True)

@@ -78,3 +78,24 @@ def expand_once(seeds: DataFrame, links: DataFrame, most: int) -> DataFrame:
 
     hop = seeds.select("root", F.col("node").alias("src")).join(links, "src").filter("src <> dst").groupBy("root", "dst").agg(F.min("kind").alias("kind"))
     return top_per(hop, ["root"], [F.col("kind"), F.col("dst")], most)
+
+
+def _module_tail(spec):
+    """What of an import specifier must be the end of a file's path; null if it can't name a file of the project."""
+    parts = F.filter(F.split(spec, "/"), lambda p: ~p.isin("", ".", "..") & ~F.startswith(p, F.lit("@")))
+    scoped = F.startswith(spec, F.lit("@")) & F.contains(spec, F.lit("/")) & ~F.startswith(spec, F.lit("@/"))
+    return F.when(~scoped & (F.size(parts) > 0), F.array_join(parts, "/"))
+
+
+def proven_names(uses: DataFrame, safe: DataFrame, imports: DataFrame) -> DataFrame:
+    """GR05: the `uses` (rel, name and others) whose name is a proven sanitizer: of the file itself, or of another file that the import's specifier names.
+
+    `safe`: (rel, name). `imports`: (rel, name, spec). A path ends in few tails, so each is a row and the search is an equi-join.
+    Nulls prove nothing; repeated uses stay, repeated proofs count once.
+    """
+    stem = F.split(F.regexp_replace("rel", r"\.[^./]*$", ""), "/")
+    tails = safe.select("rel", "name", F.posexplode(stem).alias("at", "part"), stem.alias("stem")).select(
+        F.col("rel").alias("other"), "name", F.array_join(F.slice("stem", F.col("at") + 1, F.size("stem") - F.col("at")), "/").alias("tail")
+    )
+    through = imports.select("rel", "name", _module_tail(F.col("spec")).alias("tail")).join(tails, ["name", "tail"]).filter("other <> rel").select("rel", "name")
+    return uses.join(safe.select("rel", "name").union(through).distinct(), ["rel", "name"], "left_semi")
