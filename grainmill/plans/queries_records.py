@@ -1,4 +1,4 @@
-"""Queries of saved engine logs, of proofs that a redacted value was a literal, and of sanitizers behind imports."""
+"""Queries of saved engine logs, of proofs that a redacted value was a literal, and of sanitizers behind imports, and of labels."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from grainmill.functions import scalars as S
 from grainmill.operators import graphs as G
 from grainmill.plans.relations import duck, relation
 from grainmill.sources import engine_logs as L
+from grainmill.sources import labels as B
 
 QUERIES, SQL = {}, {}
 
@@ -82,3 +83,20 @@ SELECT * EXCLUDE (user_id), CASE WHEN user_id % 17 = 0 THEN 'invalid' WHEN user_
 def log_completeness(spark, sf):
     expected = spark.sql(RESULTS, events=relation(spark, sf, "events")).select("root", F.col("file").alias("path"))
     return L.completeness(L.parsed(logs(spark, sf)), expected)
+
+
+# Labels of orders; each fault hits the orders that a prime divides, and every 59th row is there twice.
+NAMED = """SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN 'Repo 1' ELSE concat('repo-', chr(97 + CAST(o_custkey % 5 AS INT))) END AS alias, CASE WHEN o_orderkey % 37 = 0 THEN 'p1' ELSE concat('P', 100 + o_orderkey % 20) END AS rule,
+  o_orderkey % 101 AS population, concat('p', o_custkey % 9) AS project, CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE concat('src/f', o_orderkey % 70, '.py') END AS file, CAST(o_orderkey % 211 AS INT) - 1 AS line, concat('fp', o_orderkey) AS fingerprint,
+  CASE o_orderkey % 61 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'r' END AS review_id, CASE WHEN o_orderkey % 41 = 0 THEN '  ' ELSE 'seen' END AS evidence, CASE WHEN o_orderkey % 53 = 0 THEN 'maybe' WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'confirmed' END AS validity FROM {orders}"""
+SIGNED = f"""SELECT *, CASE WHEN o_orderkey % 47 = 0 THEN 'none' ELSE HASH(concat('["', alias, '","', project, '","', file, '",', line, ',"', rule, '","', fingerprint, CASE WHEN o_orderkey % 43 = 0 THEN '"' ELSE '"]' END)) END AS sample_id FROM ({NAMED})"""
+LABELS = f"SELECT * FROM ({SIGNED}) UNION ALL SELECT * FROM ({SIGNED}) WHERE o_orderkey % 59 = 0"
+
+
+@add("src23_label_problems", f"""WITH r AS ({LABELS.replace("HASH", "sha256")}) SELECT o_orderkey, CASE WHEN sample_id = 'none' THEN 'sample_id' WHEN o_orderkey % 59 = 0 THEN 'duplicate' WHEN alias = 'Repo 1' THEN 'alias' WHEN alias = 'repo-e' THEN 'unknown alias'
+WHEN rule = 'p1' THEN 'rule' WHEN population = 0 THEN 'population' WHEN file = '' THEN 'file' WHEN line < 0 THEN 'line' WHEN review_id = '' THEN 'review_id' WHEN evidence = '  ' THEN 'evidence' WHEN o_orderkey % 43 = 0 THEN 'identity' WHEN validity = 'maybe' THEN 'validity' END AS problem FROM r""")
+def label_problems(spark, sf):
+    rows = spark.sql(LABELS.replace("HASH", "sha2").replace("'\"]' END))", "'\"]' END), 256)"), orders=relation(spark, sf, "orders"))
+    rows = rows.withColumns({axis: F.lit(None).cast("string") for axis in B.AXES if axis != "validity"})
+    corpus = spark.createDataFrame([(f"repo-{x}", 5) for x in "abcd"] + [("repo-e", 0)], "alias string, n int")
+    return B.problems(rows, corpus).select("o_orderkey", "problem")

@@ -1,12 +1,15 @@
 """Engine logs, proofs of literals and sanitizers behind imports, on small cases."""
 
+import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import scalars as S
 from grainmill.operators import graphs as G
 from grainmill.sources import engine_logs as L
+from grainmill.sources import labels as B
 
 
 def test_proofs_of_literals(spark):
@@ -63,3 +66,36 @@ def test_engine_logs(spark):
         "/w/broken": (*nothing, "invalid"),
         "/w/null": (*nothing, "invalid"),
     }
+
+
+def test_labels(spark):
+    good = {"alias": "repo-a", "project": "p", "file": 'f"é.py', "line": 3, "rule": "P001", "fingerprint": "x"}
+    rows, want = [], []
+
+    def add(problem, **changed):
+        row = good | {"fingerprint": f"x{len(rows)}"} | changed
+        digest = hashlib.sha256(json.dumps([row[k] for k in good], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+        rows.append({"sample_id": digest, "population": 4, "review_id": None, "evidence": "e", **dict.fromkeys(B.AXES), **row})
+        want.append(problem)
+
+    add(None)
+    add(None, validity="uncertain", review_id="r")
+    add("sample_id", sample_id="AB")
+    add("sample_id", sample_id=None)
+    add("duplicate", fingerprint="same")
+    add("duplicate", fingerprint="same")
+    add("alias", alias="repo-ab")
+    add("unknown alias", alias="repo-z")
+    add("population", population=None)
+    add("line", line=-1)
+    add("identity", sample_id="0" * 64)
+    add("actionability", actionability="no")
+    schema = "sample_id string, alias string, rule string, population int, project string, file string, line int, fingerprint string, review_id string, evidence string, validity string, level_assessment string, gate_assessment string, actionability string, at int"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    labels = spark.createDataFrame([tuple((r | {"at": k})[c] for c in columns) for k, r in enumerate(rows)], schema)
+    corpus = spark.createDataFrame([("repo-a", 3), ("repo-z", 0)], "alias string, n int")
+    got = {r.at: r.problem for r in B.problems(labels, corpus).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+    assert B.strict(labels.filter("at < 2"), corpus).count() == 2 and B.strict(labels.limit(0), corpus).count() == 0
+    with pytest.raises(Exception, match="invalid population"):
+        B.strict(labels.filter("at = 8"), corpus).collect()
