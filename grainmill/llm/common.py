@@ -130,3 +130,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+#: The unsigned CRC-32 of a short ASCII string.
+CRC32_SQL = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(%(s)s) + 1), lambda i: ascii(%(s)s[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(1, 9)), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
