@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, as a table in the checkpoint folder. For loops: a checkpoint keeps the size that Spark guesses from the plan
+    behind it, which joins multiply from round to round until the guess itself fills the driver; a table's size is that of its files."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Ids of at most so many bytes may go to every task; more are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 

@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: ternary hash trees by source, a tree over the sources, and a proof for every row.
 
 1. Leaves are digests made by SQL functions, so texts don't leave the scan; a small table of ids and digests is checkpointed.
-2. Each leaf gets its place in its source (see places.py), and runs of BLOCK = 3**HEIGHT leaves from a multiple of BLOCK on
+2. Each leaf gets its place in its source (see places.py), and runs of 3**HEIGHT leaves from a multiple of that on
    are one block, a whole subtree: a source with very many rows is very many blocks.
 3. A treehash over each block gives its root. Block roots are the leaves of the next level, again in blocks, until each
    source has one root; these are numbered and climbed likewise to the root of all.
@@ -27,7 +27,7 @@ from grainmill.llm.common import CRC32_SQL, checked_broadcast, cut
 from grainmill.llm.places import placed
 
 ARITY, HEIGHT = 3, 7
-BLOCK = ARITY**HEIGHT
+NODES, PATHS = "tree string, at long, digest binary", "tree string, at long, note string, path binary"
 
 
 def digest(nodes: list[bytes]) -> bytes:
@@ -62,12 +62,12 @@ class Treehash:
                 self.push(node, at + 1)
 
 
-def block_height(block: int, n: int) -> int:
-    """Only a first block that isn't full is a whole tree, which ends where one node remains; all others are HEIGHT high."""
+def block_height(block: int, n: int, most: int) -> int:
+    """Only a first block that isn't full is a whole tree, which ends where one node remains; all others are `most` high."""
     height = 0
     while block == 0 and n > ARITY**height:
         height += 1
-    return height if block == 0 else HEIGHT
+    return height if block == 0 else most
 
 
 def tree_root(leaves: list[bytes], height: int) -> bytes:
@@ -132,71 +132,82 @@ def _hex(items: pa.Array, name: str) -> list[bytes]:
     return [x.hex().encode() for x in items.field(name).to_pylist()]
 
 
-def _roots(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            block = batch.column("block")[i].as_py()
-            leaves = _hex(batch.column("items")[i].values, "digest")
-            root = bytes.fromhex(tree_root(leaves, block_height(block, len(leaves))).decode())
-            yield pa.RecordBatch.from_pydict({"tree": [batch.column("tree")[i].as_py()], "at": [block], "digest": [root]}, pa.schema([("tree", pa.string()), ("at", pa.int64()), ("digest", pa.binary())]))
+def _roots(height: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                leaves = _hex(batch.column("items")[i].values, "digest")
+                root = bytes.fromhex(tree_root(leaves, block_height(block, len(leaves), height)).decode())
+                yield pa.RecordBatch.from_pydict({"tree": [batch.column("tree")[i].as_py()], "at": [block], "digest": [root]}, pa.schema([("tree", pa.string()), ("at", pa.int64()), ("digest", pa.binary())]))
 
+    return run
 
-def _paths(batches):
+
+def _paths(height: int):
     """The packed path of every node of a block, in the block and above it."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in ("tree", "block", "path")}
-            items = batch.column("items")[i].values
-            leaves = _hex(items, "digest")
-            paths = [packed(p) + row["path"] for p in traverse(leaves, block_height(row["block"], len(leaves)))]
-            yield pa.RecordBatch.from_arrays([pa.array([row["tree"]] * len(paths)), items.field("at"), items.field("note"), pa.array(paths, pa.binary())], ["tree", "at", "note", "path"])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("tree", "block", "path")}
+                items = batch.column("items")[i].values
+                leaves = _hex(items, "digest")
+                paths = [packed(p) + row["path"] for p in traverse(leaves, block_height(row["block"], len(leaves), height))]
+                yield pa.RecordBatch.from_arrays([pa.array([row["tree"]] * len(paths)), items.field("at"), items.field("note"), pa.array(paths, pa.binary())], ["tree", "at", "note", "path"])
+
+    return run
 
 
-def _proofs(batches):
+def _proofs(height: int):
     """What is said of every row: its proof, and the root that its tampered leaf leads to."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            block, above, subroot, root = (batch.column(c)[i].as_py() for c in ("block", "path", "subroot", "root"))
-            items = batch.column("items")[i].values
-            leaves, given = _hex(items, "digest"), _hex(items, "tampered")
-            above = unpacked(above)
-            shared, known, proofs, folded = b"".join(x for _, others in above for x in others), {}, [], []
-            for path, leaf in zip(traverse(leaves, block_height(block, len(leaves))), given):
-                proofs.append(sha256(b"".join(x for _, others in path for x in others) + shared).hexdigest())
-                top = fold(leaf, path)
-                if top not in known:
-                    known = {top: fold(top, above).decode()} | (known if len(known) < 64 else {})
-                folded.append(known[top])
-            n, root = len(leaves), root.hex()
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({"doc_id": items.field("doc_id").to_pandas(types_mapper=pd.ArrowDtype), "leaf": [x.decode() for x in leaves], "subroot": [subroot.hex()] * n, "root": [root] * n, "proof_sha256": proofs, "folded_root": folded, "verified": np.array([f == root for f in folded])}),
-                preserve_index=False,
-            )
-
-
-def _blocks(nodes: DataFrame, *more: str) -> DataFrame:
-    """(tree, block, items): the nodes of each block in order, at most BLOCK of them in a row; checkpointed."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, above, subroot, root = (batch.column(c)[i].as_py() for c in ("block", "path", "subroot", "root"))
+                items = batch.column("items")[i].values
+                leaves, given = _hex(items, "digest"), _hex(items, "tampered")
+                above = unpacked(above)
+                shared, known, proofs, folded = b"".join(x for _, others in above for x in others), {}, [], []
+                for path, leaf in zip(traverse(leaves, block_height(block, len(leaves), height)), given):
+                    proofs.append(sha256(b"".join(x for _, others in path for x in others) + shared).hexdigest())
+                    top = fold(leaf, path)
+                    if top not in known:
+                        known = {top: fold(top, above).decode()} | (known if len(known) < 64 else {})
+                    folded.append(known[top])
+                n, root = len(leaves), root.hex()
+                yield pa.RecordBatch.from_pandas(
+                    pd.DataFrame({"doc_id": items.field("doc_id").to_pandas(types_mapper=pd.ArrowDtype), "leaf": [x.decode() for x in leaves], "subroot": [subroot.hex()] * n, "root": [root] * n, "proof_sha256": proofs, "folded_root": folded, "verified": np.array([f == root for f in folded])}),
+                    preserve_index=False,
+                )
+
+    return run
+
+
+def _blocks(nodes: DataFrame, height: int, *more: str) -> DataFrame:
+    """(tree, block, items): the nodes of each block in order, at most 3**height of them in a row; checkpointed."""
     items = F.sort_array(F.collect_list(F.struct("at", "digest", *more)))
-    return cut(nodes.groupBy("tree", F.expr(f"at div {BLOCK}").alias("block")).agg(items.alias("items")))
+    return cut(nodes.groupBy("tree", F.expr(f"at div {ARITY**height}").alias("block")).agg(items.alias("items")))
 
 
-def _climb(nodes: DataFrame, *more: str) -> tuple[list[DataFrame], DataFrame]:
+def _climb(nodes: DataFrame, height: int, *more: str) -> tuple[list[DataFrame], DataFrame]:
     """Nodes (tree, at, digest) up to the root of each tree: the blocks of all levels, and (tree, digest)."""
-    levels = [_blocks(nodes, *more)]
+    levels = [_blocks(nodes, height, *more)]
     while True:
-        up = cut(levels[-1].mapInArrow(_roots, "tree string, at long, digest binary"))
+        up = cut(levels[-1].mapInArrow(_roots(height), NODES))
         if not up.agg(F.max("at")).first()[0]:
             return levels, up.select("tree", "digest")
-        levels.append(_blocks(up.withColumn("note", F.lit(None).cast("string")), "note"))
+        levels.append(_blocks(up.withColumn("note", F.lit(None).cast("string")), height, "note"))
 
 
-def _above(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
+def _above(levels: list[DataFrame], tops: DataFrame, height: int) -> DataFrame:
     """The lowest blocks with the paths above them; tops: (tree, path) above the trees, and more columns that go down with it."""
     carried = [c for c in tops.columns if c not in ("tree", "path")]
     tops = tops.withColumn("block", F.lit(0).cast("long"))
     for blocks in levels[:0:-1]:
         paths = blocks.join(checked_broadcast(tops, row_bytes=2048), ["tree", "block"])
-        lower = paths.mapInArrow(_paths, "tree string, at long, note string, path binary").select("tree", F.col("at").alias("block"), "path")
+        lower = paths.mapInArrow(_paths(height), PATHS).select("tree", F.col("at").alias("block"), "path")
         tops = lower.join(checked_broadcast(tops.select("tree", *carried).distinct(), row_bytes=256), "tree") if carried else lower
     return levels[0].join(checked_broadcast(tops, row_bytes=2048), ["tree", "block"])
 
@@ -206,8 +217,11 @@ def _field(name: str, value=None):
     return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, source, lang, n_chars, text): doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
+    """One row per row of `docs` (doc_id, source, lang, n_chars, text): doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
+
+    height: of a block; it changes how the work is dealt, not the result.
+    """
     head = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
     text = F.col("text").cast("string")
     leaf = F.sha2(F.concat(*head, _field("text", text)), 256)
@@ -216,13 +230,13 @@ def manifest(docs: DataFrame) -> DataFrame:
     # A null source stands before all others, which are in the order of their bytes.
     tree = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("0"))
     leaves = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tree.alias("tree"), F.unhex(leaf).alias("digest"), F.unhex(F.when(tampered, stripped).otherwise(leaf)).alias("tampered")))
-    levels, subroots = _climb(placed(leaves, ["tree"], [F.col("doc_id").asc_nulls_first(), F.col("digest")]), "doc_id", "tampered")
+    levels, subroots = _climb(placed(leaves, ["tree"], [F.col("doc_id").asc_nulls_first(), F.col("digest")]), height, "doc_id", "tampered")
     subroots = cut(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("note"), "digest"))
-    over, root = _climb(placed(subroots, ["tree"], [F.col("note")]), "note")
-    paths = _above(over, root.select("tree", F.lit(b"").alias("path"))).mapInArrow(_paths, "tree string, at long, note string, path binary")
+    over, root = _climb(placed(subroots, ["tree"], [F.col("note")]), height, "note")
+    paths = _above(over, root.select("tree", F.lit(b"").alias("path")), height).mapInArrow(_paths(height), PATHS)
     known = paths.join(F.broadcast(root.select("tree", F.col("digest").alias("root"))), "tree").select(F.col("note").alias("tree"), "path", "root")
     tops = cut(known.join(subroots.select(F.col("note").alias("tree"), F.col("digest").alias("subroot")), "tree"))
-    return _above(levels, tops).mapInArrow(_proofs, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return _above(levels, tops, height).mapInArrow(_proofs(height), "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
 def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:

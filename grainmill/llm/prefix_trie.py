@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import CRC32_SQL, checked_broadcast, cut
+from grainmill.llm.common import CRC32_SQL, checked_broadcast, cut, written
 from grainmill.llm.places import placed
 
 #: Nodes of a part, about, and the bound from which on a node is heavy.
@@ -170,11 +170,11 @@ def _shards(tree: DataFrame, rows: DataFrame, n: int, limit: int) -> tuple[DataF
     out = cut(light.groupBy("part").applyInPandas(_part, NODE))
     below = out.filter("top").groupBy(F.col("q1").alias("p1"), F.col("q2").alias("p2")).agg(F.count("*").alias("c"), F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("s"))
     sums = {m: F.col(m) + F.coalesce(F.col(c), F.lit(0)) for m, c in (("more_children", "c"), ("more_leaves", "l"), ("more_saved", "s"))}
-    heavy = cut(heavy.drop("via", "below", "heavy").join(below, ["p1", "p2"], "left").withColumns(sums).drop("c", "l", "s"))
+    heavy = written(heavy.drop("via", "below", "heavy").join(below, ["p1", "p2"], "left").withColumns(sums).drop("c", "l", "s"))
     ways = ways.filter("heavy").drop("heavy", "total")
     last = ways.groupBy("conv_id").agg(F.max(F.struct("depth", "p1", "p2")).alias("end"))
     chosen = last.groupBy("end").agg(F.min("conv_id").alias("conv_id")).select("conv_id", F.col("end.depth").alias("total"))
-    return out, heavy, cut(ways.join(chosen, "conv_id"))
+    return out, heavy, written(ways.join(chosen, "conv_id"))
 
 
 def _with_parents(out: DataFrame, heavy: DataFrame) -> DataFrame:
