@@ -55,21 +55,20 @@ def two_contexts(entries: DataFrame, edges: DataFrame, client: DataFrame) -> Dat
         seen = _cut(seen.union(frontier))
 
 
-def best_kind(seeds: DataFrame, edges: DataFrame, most_depth: int = 32) -> DataFrame:
+def best_kind(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """GR02: (root, node, rank): the best way to a node, where a way is as good as its worst edge. `edges`: src, dst, rank (higher is better).
 
     A node goes on again only when its rank got better, so a diamond keeps its definite path and cycles end.
     """
     seen = _cut(seeds.groupBy("root", "node").agg(F.max("rank").alias("rank")))
     frontier = seen
-    for _ in range(most_depth):
+    while True:
         step = frontier.withColumnRenamed("rank", "r").join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.least("r", "rank").alias("rank"))
         step = step.groupBy("root", "node").agg(F.max("rank").alias("rank"))
         frontier = _cut(step.join(seen.withColumnRenamed("rank", "had"), ["root", "node"], "left").filter("had IS NULL OR rank > had").drop("had"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = _cut(seen.union(frontier).groupBy("root", "node").agg(F.max("rank").alias("rank")))
-    return seen
 
 
 def expand_once(seeds: DataFrame, links: DataFrame, most: int) -> DataFrame:
@@ -87,15 +86,21 @@ def _module_tail(spec):
     return F.when(~scoped & (F.size(parts) > 0), F.array_join(parts, "/"))
 
 
-def proven_names(uses: DataFrame, safe: DataFrame, imports: DataFrame) -> DataFrame:
-    """GR05: the `uses` (rel, name and others) whose name is a proven sanitizer: of the file itself, or of another file that the import's specifier names.
+def imported_proofs(safe: DataFrame, imports: DataFrame) -> DataFrame:
+    """Those of the `imports` (rel, name, spec) whose specifier names another file that proves the name; `safe`: (rel, name).
 
-    `safe`: (rel, name). `imports`: (rel, name, spec). A path ends in few tails, so each is a row and the search is an equi-join.
-    Nulls prove nothing; repeated uses stay, repeated proofs count once.
+    A path ends in few tails, so each is a row and the search is an equi-join.
     """
     stem = F.split(F.regexp_replace("rel", r"\.[^./]*$", ""), "/")
     tails = safe.select("rel", "name", F.posexplode(stem).alias("at", "part"), stem.alias("stem")).select(
         F.col("rel").alias("other"), "name", F.array_join(F.slice("stem", F.col("at") + 1, F.size("stem") - F.col("at")), "/").alias("tail")
     )
-    through = imports.select("rel", "name", _module_tail(F.col("spec")).alias("tail")).join(tails, ["name", "tail"]).filter("other <> rel").select("rel", "name")
-    return uses.join(safe.select("rel", "name").union(through).distinct(), ["rel", "name"], "left_semi")
+    return imports.select("rel", "name", "spec", _module_tail(F.col("spec")).alias("tail")).join(tails, ["name", "tail"]).filter("other <> rel").select("rel", "name", "spec")
+
+
+def proven_names(uses: DataFrame, safe: DataFrame, imports: DataFrame) -> DataFrame:
+    """GR05: the `uses` (rel, name and others) whose name is a proven sanitizer: of the file itself, or of another file that the import's specifier names.
+
+    `safe`: (rel, name). `imports`: (rel, name, spec). Nulls prove nothing; repeated uses stay, repeated proofs count once.
+    """
+    return uses.join(safe.select("rel", "name").union(imported_proofs(safe, imports).select("rel", "name")).distinct(), ["rel", "name"], "left_semi")
