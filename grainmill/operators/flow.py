@@ -170,8 +170,8 @@ def _reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _concerned(syntax: DataFrame, values: DataFrame) -> DataFrame:
-    """The rows of the files that have one of the values."""
-    return syntax.join(values.select("rel").distinct(), "rel", "left_semi")
+    """The rows of the files that have one of the values; checkpointed, since the fixpoint reads them many times."""
+    return graphs._cut(syntax.join(values.select("rel").distinct(), "rel", "left_semi"))
 
 
 def composed_sql(syntax: DataFrame) -> DataFrame:

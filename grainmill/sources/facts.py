@@ -6,7 +6,7 @@ still its line facts; no file fails a task. Output: rel, kind, line, name, detai
 
 Kinds: import (name: module, detail: top level), complexity (name: function, detail: number), comment, unit (name: function,
 detail: last line), edge (module specifier of TS), endpoint, client (file is marked as client code), and rule hits
-P001 P004 P005 P007 R001 R002 R003 R004 R005 R006 R007 N001 N002 N003 N004 N005 J001 J002 D001 D002 D003 and S:….
+P001 P007 R006 N001 N002 N003 N004 N005 J001 J002 D001 D002 and S:…. Rules that follow scopes and names are in operators/flow.py.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import ast
 import io
 import re
 import tokenize
+from bisect import bisect_right
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,8 +31,6 @@ MARKERS = re.compile(
     r"(?:temporary|temp) (?:stub|placeholder|implementation|hack)|stubbed? out|just a (?:stub|placeholder)|"
     r"simplified (?:for|version)|replace (?:this )?with (?:your|actual|real)|left as an exercise|mock implementation)"
 )
-SQL_TEXT = re.compile(r"(?is)\b(select\s.+\sfrom|insert\s+into|update\s.+\sset|delete\s+from)\b")
-SINK = re.compile(r"(?i)(execute|query|raw|command|sql)")
 SERVER_ONLY = frozenset("fs node:fs fs/promises child_process node:child_process net node:net server-only next/headers".split())
 RESOURCES = "FileInputStream|FileOutputStream|FileReader|FileWriter|BufferedReader|BufferedWriter|Scanner|PrintWriter|Socket|ServerSocket|RandomAccessFile"
 HOOKS = r"use(?:State|Effect|Memo|Callback|Ref|Reducer|Context|LayoutEffect)"
@@ -39,19 +39,19 @@ PUBLIC_SAFE = re.compile(r"PUBLISHABLE|PUBLIC_KEY|ANON")
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.comprehension)
 
 
-def blanked(text: str) -> tuple[str, list[tuple[int, str]]]:
+def blanked(text: Code) -> tuple[Code, list[tuple[int, str]]]:
     """Text with comments and string bodies as blanks, and the comments with their line."""
     comments: list[tuple[int, str]] = []
 
     def blank(m: re.Match) -> str:
         s = m.group(0)
         if s.startswith(("//", "/*")):
-            first = text.count("\n", 0, m.start()) + 1
+            first = text.line(m.start())
             comments.extend((first + k, part) for k, part in enumerate(s.split("\n")))
             return re.sub(r"[^\n]", " ", s)
         return s[0] + re.sub(r"[^\n]", " ", s[1:-1]) + s[-1] if len(s) > 1 else s
 
-    return re.sub(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", blank, text, flags=re.DOTALL), comments
+    return Code(re.sub(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", blank, text, flags=re.DOTALL)), comments
 
 
 def _python(text: str):
@@ -91,25 +91,36 @@ def _python(text: str):
                 yield "S:python-eval-input", node.lineno, name, "dynamic code"
             if base == "pickle" and name in ("load", "loads"):
                 yield "S:python-pickle-load", node.lineno, name, "untrusted pickle"
-            if node.args and _composed(node.args[0]):
-                yield "P005" if SINK.search(name) else "P004", node.lineno, name, "composed SQL"
 
 
-def _composed(node: ast.AST) -> bool:
-    """Whether an expression joins SQL text with something that isn't constant."""
-    parts = list(ast.walk(node))
-    text = " ".join(n.value for n in parts if isinstance(n, ast.Constant) and isinstance(n.value, str))
-    dynamic = isinstance(node, ast.JoinedStr) and any(isinstance(n, ast.FormattedValue) for n in parts)
-    dynamic |= isinstance(node, ast.BinOp) and any(isinstance(n, (ast.Name, ast.Call, ast.Attribute, ast.Subscript)) for n in parts)
-    return bool(dynamic and SQL_TEXT.search(text + " x"))
+class Code(str):
+    """Text that knows its lines and braces; both are found once."""
 
+    @cached_property
+    def ends(self) -> list[int]:
+        return [m.start() for m in re.finditer("\n", self)]
 
-def _lines(pattern: str, code: str, flags: int = 0):
+    @cached_property
+    def closing(self) -> dict[int, int]:
+        """Where the brace that opens at a place closes."""
+        out, stack = {}, []
+        for m in re.finditer("[{}]", self):
+            if m.group() == "{":
+                stack.append(m.start())
+            elif stack:
+                out[stack.pop()] = m.start()
+        return out
+
+    def line(self, at: int) -> int:
+        return bisect_right(self.ends, at - 1) + 1
+
+
+def _lines(pattern: str, code: Code, flags: int = 0):
     for m in re.finditer(pattern, code, flags):
-        yield code.count("\n", 0, m.start()) + 1, m
+        yield code.line(m.start()), m
 
 
-def _curly(text: str, language: str):
+def _curly(text: Code, language: str):
     code, comments = blanked(text)
     for line, part in comments:
         yield "comment", line, "", part
@@ -117,21 +128,13 @@ def _curly(text: str, language: str):
             yield "P007", line, "", part.strip()[:120]
     for line, _ in _lines(r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}", code):
         yield "P001", line, "", "the exception is swallowed"
-    rows = text.split("\n")
-    for k, row in enumerate(rows, 1):
-        joins = re.search(r"\"\s*\+|\+\s*\"|\$\{|\$\"", row)
-        if joins and SQL_TEXT.search(row + " x"):
-            yield "P005" if language == "csharp" and re.search(r"(?i)(FromSqlRaw|ExecuteSqlRaw|SqlQueryRaw)", row) is None and SINK.search(row.split("(")[0]) else "P004", k, "", "composed SQL"
     heads = {"java": r"(?m)^\s*(?:public|private|protected|static|final|synchronized|\s)+[\w<>\[\], ]+\s+(\w+)\s*\([^;{]*\)[^;{]*\{", "csharp": r"(?m)^\s*(?:public|private|protected|internal|static|async|virtual|override|\s)+[\w<>\[\], ?]+\s+(\w+)\s*\([^;{]*\)[^;{]*\{"}
     for line, m in _lines(heads.get(language, r"\bfunction\s+(\w+)\s*\([^)]*\)[^{;]*\{|(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)[^={;]*=>\s*\{"), code):
-        depth, at = 1, m.end()
-        while at < len(code) and depth:
-            depth += {"{": 1, "}": -1}.get(code[at], 0)
-            at += 1
+        at = code.closing.get(m.end() - 1, len(code) - 1) + 1
         body = code[m.end() : at]
         name = next(g for g in m.groups() if g)
         yield "complexity", line, name, str(1 + len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.?:])", body)))
-        yield "unit", line, name, str(code.count("\n", 0, at) + 1)
+        yield "unit", line, name, str(code.line(at))
     if language == "java":
         for line, m in _lines(r"\bimport\s+(?:static\s+)?([\w.]+)(?:\.\*)?\s*;", code):
             steps = m.group(1).split(".")
@@ -150,11 +153,8 @@ def _curly(text: str, language: str):
         for line, m in _lines(r"\basync\s+void\s+(\w+)\s*\(([^)]*)\)", code):
             if not ("sender" in m.group(2) and "EventArgs" in m.group(2)):
                 yield "D001", line, m.group(1), "cannot be awaited"
-        for line, _ in _lines(r"\w*Async\([^()]*\)\s*\.(?:Result\b|Wait\()|GetAwaiter\(\)\s*\.GetResult\(", code):
+        for line, _ in _lines(r"\w*Async\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*\.(?:Result\b|Wait\()|GetAwaiter\(\)\s*\.GetResult\(", code):
             yield "D002", line, "", "blocks on a task"
-        for line, m in _lines(r"\b(FromSqlRaw|ExecuteSqlRaw|SqlQueryRaw)\s*\(\s*(\$?\")", text):
-            if m.group(2) == '$"' or re.search(r"\"\s*\+", text[m.end() :].split(";")[0]):
-                yield "D003", line, m.group(1), "raw SQL is composed"
         for line, m in _lines(r"\.Map(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]*)\"|\[Http(Get|Post|Put|Delete|Patch)(?:\(\"([^\"]*)\"\))?\]", text):
             yield "endpoint", line, (m.group(1) or m.group(3)).upper(), m.group(2) or m.group(4) or ""
     else:
@@ -163,7 +163,7 @@ def _curly(text: str, language: str):
         yield "S:weak-hash", line, "", "weak hash"
 
 
-def _typescript(text: str, code: str):
+def _typescript(text: Code, code: Code):
     client = re.match(r"\s*(?:(?:'[^'\n]*'|\"[^\"\n]*\")\s*;?\s*)*?(?:'use client'|\"use client\")", re.sub(r"//[^\n]*|/\*.*?\*/", "", text, flags=re.DOTALL)) is not None
     if client:
         yield "client", 1, "", ""
@@ -188,49 +188,16 @@ def _typescript(text: str, code: str):
     if client:
         for line, m in _lines(r"export\s+default\s+async\s+function\s+(\w*)", code):
             yield "N005", line, m.group(1), "async client component"
-    depth_if = []
-    for k, row in enumerate(code.split("\n"), 1):
-        hook = re.search(rf"\b({HOOKS})\s*[<(]", row)
-        if hook and (depth_if or re.search(rf"\bif\s*\(.*\)\s*\{{?.*{HOOKS}|\?\s*{HOOKS}|&&\s*{HOOKS}", row)):
-            yield "R001", k, hook.group(1), "hook under a condition"
-        if re.search(r"\b(if|for|while)\s*\(.*\{\s*$", row):
-            depth_if.append(len(row) - len(row.lstrip()))
-        elif depth_if and re.match(r"\s*\}", row) and len(row) - len(row.lstrip()) <= depth_if[-1]:
-            depth_if.pop()
-    for line, m in _lines(rf"\b(use(?:Effect|LayoutEffect|Memo|Callback))\s*\(", code):
-        depth, at, commas, inner = 1, m.end(), 0, ""
-        while at < len(code) and depth:
-            depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(code[at], 0)
-            commas += code[at] == "," and depth == 1
-            inner += code[at]
-            at += 1
-        if not commas and m.group(1) in ("useEffect", "useLayoutEffect"):
-            yield "R004", line, m.group(1), "no dependency list"
-        deps = re.search(r",\s*\[([^\]]*)\]\s*\)$", inner)
-        if deps:
-            given = {d.strip() for d in deps.group(1).split(",")}
-            for path in sorted(set(re.findall(r"\bprops\.[\w.]+", inner[: deps.start()]))):
-                steps = path.split(".")
-                if not any(".".join(steps[:n]) in given for n in range(1, len(steps) + 1)):
-                    yield "R005", line, path, "read but not in the dependency list"
-        nested = re.search(rf"\b({HOOKS})\s*\(", inner)
-        if nested:
-            yield "R002", line, nested.group(1), "hook in a hook's callback"
     for line, m in _lines(r"\.map\(\s*\(?\s*\w+\s*,\s*(\w+)[^=]*=>", code):
         key = re.search(rf"key=\{{\s*{m.group(1)}\s*\}}", code[m.end() : m.end() + 400])
         if key:
-            yield "R006", line + code.count("\n", m.end(), m.end() + key.start()), m.group(1), "index as key"
-    for line, _ in _lines(r"dangerouslySetInnerHTML=\{\{\s*__html:\s*+(?!DOMPurify|['\"`])", code):
-        yield "R007", line, "", "raw HTML"
-    for line, m in _lines(rf"^(?:export\s+)?function\s+([a-z]\w*)\s*\([^)]*\)[^{{]*\{{[^}}]*\b({HOOKS})\b", code, re.MULTILINE):
-        if not re.match(r"use[A-Z]", m.group(1)):
-            yield "R003", line, m.group(1), "hook outside a component"
+            yield "R006", code.line(m.end() + key.start()), m.group(1), "index as key"
     for line, m in _lines(r"\bexec(?:Sync)?\(\s*`[^`]*\$\{", text):
         yield "S:js-child-process-concat", line, "", "command is composed"
 
 
 def file_facts(rel: str, language: str, content: bytes | None) -> list[tuple]:
-    text = (content or b"").decode("utf-8", "replace")
+    text = Code((content or b"").decode("utf-8", "replace"))
     rows: list[tuple] = []
     try:
         for kind, line, name, detail in _python(text) if language == "python" else _curly(text, language):

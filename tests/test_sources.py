@@ -81,15 +81,15 @@ def test_include_closure(tree):
 def test_facts(tree):
     rows = facts.extract(files.source_files(tree)).collect()
     got = {(r.rel, r.kind) for r in rows}
-    assert {("app.py", k) for k in ("P001", "P005", "P007", "S:python-eval-input", "S:weak-hash")} <= got
+    assert {("app.py", k) for k in ("P001", "P007", "S:python-eval-input", "S:weak-hash")} <= got
     assert {r.name for r in rows if r.rel == "app.py" and r.kind == "import"} == {"os", "yaml", "requests.adapters"}
     assert {r.name: int(r.detail) for r in rows if r.rel == "app.py" and r.kind == "complexity"} == {"f": 2, "g": 12}
     assert [r.name for r in facts.too_complex(facts.extract(files.source_files(tree))).collect()] == ["g"]
     assert ("broken.py", "parse_error") in got
-    assert {("web/widget.tsx", k) for k in ("client", "R001", "R004", "R006", "R007", "N002", "N004", "N005")} <= got
+    assert {("web/widget.tsx", k) for k in ("client", "R006", "N002", "N004", "N005")} <= got
     assert {("web/app/page.tsx", k) for k in ("N003", "import")} <= got and ("web/app/page.tsx", "N004") not in got
     assert {r.detail for r in rows if r.rel == "web/app/page.tsx" and r.kind == "import"} == {"fs", "@scope/pkg"}
-    assert {("java/src/Main.java", k) for k in ("J001", "J002", "P001", "P004")} <= got
+    assert {("java/src/Main.java", k) for k in ("J001", "J002", "P001")} <= got
     assert [r.name for r in rows if r.rel == "java/src/Main.java" and r.kind == "J002"] == ["FileReader"]
     assert {("net/Program.cs", k) for k in ("D001", "D002", "P001")} <= got
     lines = facts.source_lines(files.source_files(tree)).filter("rel = 'app.py'")
