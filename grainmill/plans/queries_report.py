@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from grainmill.operators import report as P
+from grainmill.operators.graphs import shared_folder
 from grainmill.plans.queries_scores import LEVELLED, PACKED, findings, packed, scores
 from grainmill.plans.relations import duck, relation
 from grainmill.streaming import incremental as N
@@ -55,10 +56,7 @@ def stream_totals(spark, sf):
     """A stream over the files of the table, run until all is read; its result table is the answer."""
     source = relation(spark, sf, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*").groupBy("event_type").agg(F.count("*").alias("n"))
-    name = "stream_totals_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None)
+    name = f"stream_totals_{uuid.uuid4().hex}"
     writer = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", f"{checkpoint}/{name}")
-    writer.start().awaitTermination()
+    writer.option("checkpointLocation", f"{shared_folder(spark)}/{name}").start().awaitTermination()
     return spark.table(name)

@@ -5,7 +5,8 @@ strings (keeping places), and patterns over what is left. A file that cannot be
 still its line facts; no file fails a task. Output: rel, kind, line, name, detail.
 
 Kinds: import (name: module, detail: top level), complexity (name: function, detail: number), comment, unit (name: function,
-detail: last line), edge (module specifier of TS), endpoint, client (file is marked as client code), and rule hits
+detail: last line), edge (module specifier of TS), endpoint, client (file is marked as client code), `if-client N…` (a hit
+if the file is client code by who imports it, see operators/modules.py), and rule hits
 P001 P007 R006 N001 N002 N003 N004 N005 J001 J002 D001 D002 and S:…. Rules that follow scopes and names are in operators/flow.py.
 """
 
@@ -174,20 +175,19 @@ def _typescript(text: Code, code: Code):
         if not spec.startswith((".", "@/", "~/", "#", "/")):
             steps = spec.split("/")
             yield "import", line, spec, "/".join(steps[:2]) if spec.startswith("@") else steps[0]
-            if client and spec in SERVER_ONLY:
-                yield "N004", line, spec, "server module in client code"
+            if spec in SERVER_ONLY:
+                yield "N004" if client else "if-client N004", line, spec, "server module in client code"
     for line, m in _lines(r"process\.env\.(\w+)", code):
         name = m.group(1)
         if PUBLIC_NAME.fullmatch(name) and not PUBLIC_SAFE.search(name):
             yield "N001", line, name, "secret-like name in the public bundle"
-        elif client and not name.startswith("NEXT_PUBLIC_") and name not in ("NODE_ENV", "NEXT_RUNTIME"):
-            yield "N002", line, name, "private variable in client code"
+        elif not name.startswith("NEXT_PUBLIC_") and name not in ("NODE_ENV", "NEXT_RUNTIME"):
+            yield "N002" if client else "if-client N002", line, name, "private variable in client code"
     for line, m in _lines(rf"\b({HOOKS})\b\s*[<(]|\bon[A-Z]\w+=\{{|\b(?:window|document|localStorage)\.", code):
         if not client:
             yield "N003", line, m.group(1) or m.group(0)[:20], "client API in a file that isn't marked"
-    if client:
-        for line, m in _lines(r"export\s+default\s+async\s+function\s+(\w*)", code):
-            yield "N005", line, m.group(1), "async client component"
+    for line, m in _lines(r"export\s+default\s+async\s+function\s+(\w*)", code):
+        yield "N005" if client else "if-client N005", line, m.group(1), "async client component"
     for line, m in _lines(r"\.map\(\s*\(?\s*\w+\s*,\s*(\w+)[^=]*=>", code):
         key = re.search(rf"key=\{{\s*{m.group(1)}\s*\}}", code[m.end() : m.end() + 400])
         if key:
