@@ -15,7 +15,7 @@ from grainmill.operators.graphs import shared_folder
 from grainmill.plans.queries_scalars import with_print
 from grainmill.plans.queries_scores import FP
 from grainmill.plans.relations import duck, relation
-from grainmill.sources import config, facts, files
+from grainmill.sources import config, facts, files, manifests
 from grainmill.streaming import incremental
 
 QUERIES, SQL = {}, {}
@@ -187,6 +187,46 @@ def descriptors(spark, sf):
     return config.descriptors(found, config.rule_problems(found)).select("rule_id", "title", "level", "precision", F.array_join("languages", ",").alias("language"), "rel")
 
 
+# --- SRC08: a setup.py for each part ---------------------------------------------------------------------------------------------------------
+
+CALL = "setup(install_requires=['su_{n}>=1'])"
+#: Texts, what they declare (name), and what they leave open.
+SETUPS = [
+    ("from setuptools import setup\nsetup(install_requires=['su_{n}>=1', *more()], extras_require={'x': ['sv.{n}']})\n", ["su-{n}", "sv-{n}"], ["install_requires is not literal"]),
+    ("try:\n    from setuptools import setup\nexcept ImportError:\n    from distutils.core import setup\nresult = " + CALL + "\n", ["su-{n}"], []),
+    ("if cond():\n    from setuptools import setup\nelse:\n    setup = print\n" + CALL + "\n", [], ["a call that may be setup or not"]),
+    ("from setuptools import setup\ndef later():\n    " + CALL + "\nrun = lambda: " + CALL + "\n", [], ["no call of setup that can be told"]),
+    ("from own import setup\n" + CALL + "\n", [], []),
+    ("from setuptools import setup\nif not True:\n    setup(install_requires=['no_{n}'])\nelse:\n    " + CALL + "\n", ["su-{n}"], []),
+    ("from setuptools import setup\nsetup = wrap(setup)\n" + CALL + "\n", [], ["no call of setup that can be told"]),
+    ("import setuptools as st\nfor x in y:\n    pass\nst.setup(install_requires=('su_{n}',), tests_require=REQ, **more)\nHelper().setup(install_requires=['no_{n}'])\n", ["su-{n}"], ["tests_require is not literal", "arguments out of a table"]),
+]
+TOLD = ", ".join(f"({k}, '{name}', NULL)" for k, (_, names, _) in enumerate(SETUPS) for name in names) + ", " + ", ".join(f"({k}, NULL, 'incomplete: {what}')" for k, (_, _, odd) in enumerate(SETUPS) for what in odd)
+
+
+@add("src08_setup_files", f"SELECT concat('proj', p_partkey, '/setup.py') AS rel, replace(name, 'KEY', CAST(p_partkey AS VARCHAR)) AS name, problem FROM part JOIN (VALUES {TOLD.replace('{n}', 'KEY')}) v(k, name, problem) ON k = p_partkey % {len(SETUPS)}")
+def setup_files(spark, sf):
+    variants = spark.createDataFrame([(k, text) for k, (text, _, _) in enumerate(SETUPS)], "k int, text string")
+    rows = relation(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(SETUPS)).cast("int").alias("k")).join(F.broadcast(variants), "k")
+    texts = rows.select(F.concat(F.lit("proj"), "p_partkey", F.lit("/setup.py")).alias("rel"), F.replace("text", F.lit("{n}"), F.col("p_partkey").cast("string")).alias("text"))
+    return manifests.declared_dependencies(texts).select("rel", "name", "problem")
+
+
+# --- SRC06: requirements that take in others, half as far along; some as constraints, some themselves -------------------------------------
+
+TAKEN = "SELECT c_custkey AS c, CAST(floor(c_custkey / 2) AS BIGINT) AS t, 'requirement' AS role FROM {customer} WHERE c_custkey % 3 < 2 UNION ALL SELECT c_custkey, CAST(floor(c_custkey / 3) AS BIGINT), 'constraint' FROM {customer} WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, c_custkey + 1, 'requirement' FROM {customer} WHERE c_custkey % 8 = 1"
+
+
+@add("src06_closure", f"""WITH RECURSIVE e AS ({TAKEN}), r(root, node, role) AS (SELECT c_custkey, c_custkey, 'requirement' FROM {{customer}} UNION SELECT root, t, CASE WHEN r.role = 'constraint' THEN r.role ELSE e.role END FROM r JOIN e ON c = node)
+SELECT concat('req', root, '.txt') AS root, concat('req', node, '.txt') AS rel, role FROM r""")
+def requirement_closure(spark, sf):
+    lines = F.when(F.col("role") == "constraint", F.concat(F.lit("--constraint=req"), "t", F.lit(".txt"))).otherwise(F.concat(F.lit("-rreq"), "t", F.lit(".txt")))
+    taken = spark.sql(TAKEN, customer=relation(spark, sf, "customer")).groupBy("c").agg(F.array_join(F.collect_list(lines), "\n").alias("text"))
+    own = relation(spark, sf, "customer").select(F.concat(F.lit("req"), "c_custkey", F.lit(".txt")).alias("rel"))
+    includes = manifests.requirement_includes(taken.select(F.concat(F.lit("req"), "c", F.lit(".txt")).alias("rel"), "text"))
+    return manifests.requirement_closure(own, includes).select("root", "rel", "role")
+
+
 # --- N006: a module for each customer, in seven projects --------------------------------------------------------------------------------
 
 FOLDER = "CASE c_custkey % 4 WHEN 0 THEN concat('app/r', c_custkey, '/page') WHEN 1 THEN concat('lib/m', c_custkey) WHEN 2 THEN concat('lib/c', c_custkey) ELSE concat('lib/d', c_custkey, '/index') END"

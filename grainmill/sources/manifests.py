@@ -7,7 +7,6 @@ task. Output: rel, seq, name, ecosystem, line, raw, skip_registry, registry_name
 
 from __future__ import annotations
 
-import ast
 import re
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.scalars import canonical_name
 from grainmill.sources.files import directory_of, name_of
+from grainmill.sources.setup_files import SetupFile
 
 SCHEMA = "rel string, seq long, name string, ecosystem string, line int, raw string, skip_registry boolean, registry_name string, presence string, problem string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -49,7 +49,7 @@ def requirement_lines(texts: DataFrame) -> DataFrame:
 
 def requirement_includes(texts: DataFrame) -> DataFrame:
     """SRC06: (src, dst, role) of -r and -c lines, the target relative to the including file; the closure is graphs.reachable."""
-    hit = r"^\s*(-r|-c|--requirement|--constraint)[ =]*['\"]?([^'\"\s]+)"
+    hit = r"^\s*(-r|-c|--requirement(?=[ =])|--constraint(?=[ =]))[ =]*['\"]?([^'\"\s]+)"
     rows = _text_lines(texts).filter(F.col("raw").rlike(hit))
     role = F.when(F.regexp_extract("raw", hit, 1).isin("-c", "--constraint"), "constraint").otherwise("requirement")
     base = directory_of(F.col("rel"))
@@ -60,6 +60,20 @@ def requirement_includes(texts: DataFrame) -> DataFrame:
     return rows.select(F.col("rel").alias("src"), joined.alias("dst"), role.alias("role"))
 
 
+def requirement_closure(files: DataFrame, includes: DataFrame) -> DataFrame:
+    """SRC06: (root, rel, role, depth): what each file (rel) takes in, with the role in which it comes, at its least depth.
+
+    What comes through a constraint is a constraint, so a file is met once in each role, and a cycle ends in each.
+    """
+    from grainmill.operators.graphs import reachable
+
+    node = lambda rel, role: F.concat_ws("\0", rel, role)
+    plain = includes.select(node(F.col("src"), F.lit("requirement")).alias("src"), node(F.col("dst"), F.col("role")).alias("dst"))
+    bound = includes.select(node(F.col("src"), F.lit("constraint")).alias("src"), node(F.col("dst"), F.lit("constraint")).alias("dst"))
+    found = reachable(files.select(F.col("rel").alias("root"), node(F.col("rel"), F.lit("requirement")).alias("node")), plain.union(bound).distinct())
+    return found.select("root", F.substring_index("node", "\0", 1).alias("rel"), F.substring_index("node", "\0", -1).alias("role"), "depth")
+
+
 def npm_dependencies(texts: DataFrame) -> DataFrame:
     """SRC09: the four groups of package.json in order, the first of a name wins; npm: aliases name what the registry knows."""
     groups = F.from_json("text", ", ".join(f"{g} MAP<STRING, STRING>" for g in NPM_GROUPS), {"mode": "PERMISSIVE"})
@@ -111,32 +125,6 @@ def _toml_names(text: str):
                 yield name, isinstance(spec, dict) and any(k in spec for k in ("path", "git", "url", "file"))
 
 
-def _setup_names(text: str):
-    """SRC08: install_requires and extras of a setup() call whose lists are literal; (raw, presence), or ValueError if something is dynamic."""
-    tree = ast.parse(text)
-    bound: dict[str, list] = {}
-    for node in tree.body:
-        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            bound.setdefault(node.targets[0].id, []).append(node.value)
-    sure = {id(n) for s in tree.body if isinstance(s, ast.Expr) for n in ast.walk(s) if isinstance(n, ast.Call)}
-    for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call) and (getattr(n.func, "id", None) or getattr(n.func, "attr", "")) == "setup"):
-        for kw in call.keywords:
-            if kw.arg in ("install_requires", "tests_require", "setup_requires", "extras_require"):
-                value = kw.value
-                if isinstance(value, ast.Name):
-                    options = bound.get(value.id, [])
-                    if len(options) != 1:
-                        raise ValueError(f"{kw.arg} is not a single literal")
-                    value = options[0]
-                try:
-                    found = ast.literal_eval(value)
-                except ValueError as e:
-                    raise ValueError(f"{kw.arg} is dynamic") from e
-                entries = [x for v in found.values() for x in v] if isinstance(found, dict) else list(found)
-                for entry in entries:
-                    yield entry, "definite" if id(call) in sure else "possible"
-
-
 def _xml(text: str):
     """The root of an XML document without DTD or entities."""
     from xml.etree import ElementTree
@@ -190,9 +178,11 @@ def _parsed(frames):
                         if dep := _pep508(raw):
                             own.append(_row(rel, k, dep[0], "pypi", raw, skip=skip or dep[1]))
                 elif name == "setup.py":
-                    for k, (raw, presence) in enumerate(_setup_names(text)):
+                    setup = SetupFile(text)
+                    for k, (raw, line) in enumerate(setup.found):
                         if dep := _pep508(raw):
-                            own.append(_row(rel, k, dep[0], "pypi", raw, skip=dep[1], presence=presence))
+                            own.append(_row(rel, k, dep[0], "pypi", raw, skip=dep[1], line=line))
+                    own += [_row(rel, len(setup.found) + k, None, None, None, problem=f"incomplete: {what}") for k, what in enumerate(setup.incomplete)]
                 elif name.endswith((".xml", ".csproj", ".props", ".config")):
                     for k, (dep, eco, op, sure, skip) in enumerate(_xml_names(name, text)):
                         own.append(_row(rel, k, dep, eco, op, skip=skip, presence="definite" if sure else "possible"))

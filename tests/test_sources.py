@@ -23,8 +23,8 @@ TREE = {
     "net/App.csproj": '<Project><ItemGroup><PackageReference Include="A;B" /><PackageReference Include="C" Condition="x" /><PackageReference Remove="B" /></ItemGroup></Project>',
     "net/Program.cs": 'using System.Text;\nusing static Dapper.SqlMapper;\nclass P { async void Go() { var x = LoadAsync().Result; try { } catch { } } }\n',
     "lib/pyproject.toml": '[project]\ndependencies = ["Numpy>=1", "p @ https://x"]\n[tool.poetry.dependencies]\npython = "^3"\nrich = {path = "."}\n[dependency-groups]\ndev = ["pytest"]\n',
-    "old/setup.py": 'from setuptools import setup\nREQ = ["six"]\nsetup(install_requires=REQ, extras_require={"x": ["attrs>2"]})\n',
-    "dyn/setup.py": "setup(install_requires=read())\n", "bad/pom.xml": "<!DOCTYPE x><project/>", "g/build.gradle": "implementation 'a.b:c:1'\napi(\"d:e\")\n",
+    "old/setup.py": 'from setuptools import setup\nsetup(install_requires=["six", *more], extras_require={"x": ["attrs>2"]})\n',
+    "dyn/setup.py": "import setuptools\nsetuptools.setup(install_requires=read())\n", "bad/pom.xml": "<!DOCTYPE x><project/>", "g/build.gradle": "implementation 'a.b:c:1'\napi(\"d:e\")\n",
 }
 
 
@@ -63,7 +63,7 @@ def test_manifests(tree):
     assert {n: got["net/App.csproj", n].presence for rel, n in got if rel == "net/App.csproj"} == {"A": "definite", "C": "possible"}
     assert got["java/pom.xml", "com.x:y"].ecosystem == "maven" and got["java/pom.xml", "${g}:z"].skip_registry
     assert {n for rel, n in got if rel == "lib/pyproject.toml"} == {"numpy", "p", "rich", "pytest"} and got["lib/pyproject.toml", "rich"].skip_registry
-    assert {n for rel, n in got if rel == "old/setup.py"} == {"six", "attrs"} and got["dyn/setup.py", None].problem and got["bad/pom.xml", None].problem
+    assert {n for rel, n in got if rel == "old/setup.py"} == {"six", "attrs", None} and got["dyn/setup.py", None].problem and got["bad/pom.xml", None].problem
     assert {n for rel, n in got if rel == "g/build.gradle"} == {"a.b:c", "d:e"}
     env = manifests.env_lines(tree.filter("rel LIKE '%.env%'").selectExpr("rel", "CAST(content AS STRING) text"))
     assert [(r.name, r.level) for r in text_rules.public_env(env).collect()] == [("NEXT_PUBLIC_API_KEY", "warning")]
@@ -95,3 +95,25 @@ def test_facts(tree):
     lines = facts.source_lines(files.source_files(tree)).filter("rel = 'app.py'")
     assert lines.count() == TREE["app.py"].count("\n")
     assert {(r.rule_id, r.label) for r in text_rules.secrets(lines).collect()} == {("P002", "AWS access key")}
+
+
+def test_setup_files_by_an_abstract_run():
+    from grainmill.sources.setup_files import SetupFile
+
+    call = "setup(install_requires=['a'])"
+    found = {
+        f"import setuptools\nwith x as y:\n    from setuptools import setup\n{call}": (["a"], []), f"from setuptools import setup as s\ns(install_requires=['a', 7])\n{call}": (["a"], ["install_requires is not literal"]),
+        f"from setuptools import setup\nwhile x:\n    setup = 1\n{call}": ([], ["a call that may be setup or not"]), f"from setuptools import setup\nwhile False:\n    setup = 1\nelse:\n    {call}": (["a"], []),
+        f"from setuptools import setup\ntry:\n    pass\nfinally:\n    {call}": (["a"], []), f"from setuptools import setup\nx = [{call} for _ in y]": (["a"], []), f"from setuptools import setup\nx = ({call} for _ in y)": ([], ["no call of setup that can be told"]),
+        f"from setuptools import setup\n@deco({call})\nclass A:\n    {call}": (["a"], []), "from setuptools import setup\nsetup(extras_require=EXTRAS, **rest)": ([], ["extras_require is not literal", "arguments out of a table"]),
+        f"# {call}\nx = '''{call}'''": ([], []), f"from setuptools import find_packages\ndef setup(**k): pass\n{call}": ([], ["no call of setup that can be told"]), "": ([], []),
+    }
+    for text, (names, odd) in found.items():
+        read = SetupFile(text)
+        assert ([n for n, _ in read.found], list(read.incomplete)) == (names, odd), text
+
+
+def test_constraints_stay_constraints(spark):
+    texts = spark.createDataFrame([("a.txt", "-r b.txt\n--constraint=c.txt\n--requirements x.txt"), ("b.txt", "-c a.txt"), ("c.txt", "-rd.txt"), ("d.txt", "-r c.txt")], "rel string, text string")
+    got = manifests.requirement_closure(texts.filter("rel = 'a.txt'"), manifests.requirement_includes(texts))
+    assert {(r.rel, r.role, r.depth) for r in got.collect()} == {("a.txt", "requirement", 0), ("b.txt", "requirement", 1), ("c.txt", "constraint", 1), ("a.txt", "constraint", 2), ("d.txt", "constraint", 2), ("b.txt", "constraint", 3)}
