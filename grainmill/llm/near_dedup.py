@@ -34,6 +34,7 @@ from grainmill.llm.graph import components
 BANDS, ROWS, BITS, FULL_BITS = 24, 4, 512, 1024
 SAMPLES = BANDS * ROWS
 BLOCK = 512
+GROUP = ["bucket", "part", "block"]
 #: Stands for a null id inside the operator.
 NO_ID = -(2**63)
 _rng = np.random.default_rng(20240229)
@@ -148,7 +149,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, traits: DataFrame, percent: in
 
 
 def _likely(percent: int, nearest: bool):
-    """Rows of (bucket, block) groups: each probe against the rows of other components, by odd sketches; all likely ones, or the nearest of them."""
+    """Rows of (bucket, probes' part, block) groups: each probe against the rows of other components, by odd sketches; all likely ones, or the nearest of them."""
     most = most_odd_bits(percent / 100)
 
     def pairs_of(keys, ids, comps, probes, odd, full, size, nodes):
@@ -171,7 +172,7 @@ def _likely(percent: int, nearest: bool):
         rest = None
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = (frame["bucket"] == frame["bucket"].iloc[-1]) & (frame["block"] == frame["block"].iloc[-1])
+            last = (frame[GROUP] == frame[GROUP].iloc[-1]).all(axis=1)
             rest, whole = frame[last], frame[~last]
             yield from found(whole)
         if rest is not None:
@@ -181,7 +182,7 @@ def _likely(percent: int, nearest: bool):
         if not len(f):
             return
         nodes: list = []
-        pairs_of(f[["bucket", "block"]].to_numpy(), f["id"].to_numpy(), f["comp"].to_numpy(), f["probe"].to_numpy(bool), np.stack(f["odd"].to_list()).view(np.uint64), np.stack(f["full"].to_list()).view(np.uint64), f["n"].to_numpy(), nodes)
+        pairs_of(f[GROUP].to_numpy(), f["id"].to_numpy(), f["comp"].to_numpy(), f["probe"].to_numpy(bool), np.stack(f["odd"].to_list()).view(np.uint64), np.stack(f["full"].to_list()).view(np.uint64), f["n"].to_numpy(), nodes)
         both = np.unique(np.concatenate(nodes), axis=0) if nodes else np.empty((0, 2), np.int64)
         yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
@@ -193,13 +194,17 @@ def _left_over(members: DataFrame, comps: DataFrame, traits: DataFrame, percent:
     rows = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.sum("c").alias("m"), F.count("*").alias("kinds"), F.max(F.struct("c", "comp")).alias("top")).filter((F.col("kinds") > 1) & (F.col("m") > 2))
-    mixed = mixed.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    # Rows and probes are both dealt, so that no task takes more than a block of each at a time.
+    blocks, parts = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("top.comp").alias("top"), blocks.alias("blocks"), parts.alias("parts"))
     rows = rows.join(mixed, "bucket").join(traits.withColumnRenamed("doc_id", "id"), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.select("bucket", block.alias("block"), "id", "comp", F.lit(False).alias("probe"), "odd", "full", "n").union(
-        rows.filter("comp <> top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "comp", F.lit(True).alias("probe"), "odd", "full", "n")
+    of = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    held = ("id", "comp"), ("odd", "full", "n")
+    dealt = rows.select("bucket", each("parts").alias("part"), of("blocks").alias("block"), *held[0], F.lit(False).alias("probe"), *held[1]).union(
+        rows.filter("comp <> top").select("bucket", of("parts").alias("part"), each("blocks").alias("block"), *held[0], F.lit(True).alias("probe"), *held[1])
     )
-    return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_likely(percent, nearest), "a long, b long").distinct()
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(_likely(percent, nearest), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from grainmill.llm import graph
 from grainmill.llm import near_dedup as nd
 from grainmill.llm.graph import components
 
@@ -43,8 +44,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_same_as_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "block"), [(2, 512), (5, 512), (2, 11)])
+def test_same_as_brute_force(spark, monkeypatch, width, block):
+    """With small blocks, a bucket's rows and probes lie in many of them."""
+    monkeypatch.setattr(nd, "BLOCK", block)
     data = rows()
     df = spark.createDataFrame([(d, t, 1) for d, t in data], "doc_id long, text string, bucket int")
     got = nd.near_components(df, width=width).collect()
@@ -60,8 +63,15 @@ def test_empty(spark):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=20))
-def test_components(spark, edges):
+@given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=20), st.sampled_from([1, 100_000]))
+def test_components(spark, edges, a_task):
+    """Also where edges are too many for one task, and joins take the place of windows."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(graph, "EDGES_PER_TASK", a_task)
+        same_components(spark, edges)
+
+
+def same_components(spark, edges):
     comp = {n: n for e in edges if e[0] != e[1] for n in e}
     for _ in comp:
         for a, b in edges:
