@@ -5,23 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.operators.ownership import in_range
 from grainmill.operators.windows import within_budget
 
 REPLY = "STRUCT<issues: ARRAY<STRUCT<id: STRING, category: STRING, confidence: STRING, citations: ARRAY<STRUCT<file: STRING, a: INT, b: INT>>>>>"
 CONFIDENCES = ("low", "medium", "high")
+MOST_HINTS = 500
 
 
 def retrieve(lines: DataFrame, hints: DataFrame, keys: list[str], most: int) -> DataFrame:
     """AI02, WN05, AG13: per query the files with the most distinct hints, then the most hit lines, then by path.
 
-    `lines`: keys, text, line. `hints`: query, hint (few; broadcast after a limit on their number by the caller).
+    `lines`: keys, text, line. `hints`: query, hint; a fixed list of the program, of which each line keeps those that it holds, so there is no join of lines with hints.
     """
-    hit = lines.join(F.broadcast(hints), F.contains(F.lower("text"), F.lower("hint")))
+    listed = hints.select("query", "hint").distinct().collect()
+    if len(listed) > MOST_HINTS:
+        raise ValueError(f"{len(listed)} hints; a catalog has at most {MOST_HINTS}")
+    held = F.array(*[F.when(F.contains(F.lower("text"), F.lit(h.hint.lower())), F.struct(F.lit(h.query).alias("query"), F.lit(h.hint).alias("hint"))) for h in listed])
+    hit = lines.withColumn("h", F.explode(F.filter(held, lambda x: x.isNotNull()))).select(*lines.columns, "h.*") if listed else lines.limit(0).select("*", F.lit("").alias("query"), F.lit("").alias("hint"))
     counted = hit.groupBy("query", *keys).agg(F.count_distinct("hint").alias("hints"), F.count_distinct("line").alias("evidence"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hints"), F.desc("evidence"), *keys))
     return counted.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def accounting(files: DataFrame, queries: DataFrame, ranked: DataFrame, most: int) -> DataFrame:
+    """AG13: per project and query: eligible files, candidates, and what was left out by reason (a map).
+
+    files: project, file, language (one row a file); queries: query, languages; ranked: project, query, rank of the files with
+    evidence. A file without evidence is eligible but nobody's candidate; ranks beyond `most` are below the limit.
+    """
+    per = files.groupBy("project", "language").agg(F.count("*").alias("n")).crossJoin(F.broadcast(queries))
+    seen = F.array_contains("languages", F.col("language"))
+    counted = per.groupBy("project", "query").agg(F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("eligible"), F.sum(F.when(seen, 0).otherwise(F.col("n"))).alias("other"))
+    taken = ranked.groupBy("project", "query").agg(F.count_if(F.col("rank") <= most).alias("candidates"), F.count_if(F.col("rank") > most).alias("below"))
+    rows = counted.join(taken, ["project", "query"], "left").fillna(0, ["candidates", "below"])
+    reasons = F.map_filter(F.create_map(F.lit("language"), F.col("other"), F.lit("below the limit"), F.col("below")), lambda k, n: n > 0)
+    return rows.select("project", "query", "eligible", "candidates", reasons.alias("skipped"))
+
+
+def finding_pack(findings: DataFrame, lines: DataFrame, around: int, most_bytes: int) -> DataFrame:
+    """AI04: (seq, file, line, text): the lines around each finding (seq, file, line), from the first on as many as fit in the budget."""
+    spans = findings.select("seq", "file", (F.col("line") - around).alias("first"), (F.col("line") + around).alias("last"))
+    near = in_range(lines, spans, ["file"], "line", "first", "last").select("seq", "p.file", "line", "text")
+    return within_budget(near, ["seq"], ["line"], F.octet_length("text") + 1, most_bytes).select("seq", "file", "line", "text")
+
+
 def assemble(pieces: DataFrame, per_file: int, total: int) -> DataFrame:
     """AI03, AI04, WN04: whole lines of each file up to `per_file` bytes, then whole files in rank order up to `total` bytes.
 

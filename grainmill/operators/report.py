@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainmill.functions.scalars import joined_path, markdown_cell, redact_struct, shown
+from grainmill.functions.scalars import anchor, fingerprint, joined_path, markdown_cell, redact_struct, shown
 
 FINDING = ("rule_id", "level", "title", "file", "line", "snippet", "detail", "language", "engine", "precision", "fingerprint", "gate_action", "baseline_state")
 SCHEMA = (
@@ -37,6 +37,32 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return flatten(rows.select(F.explode("projects").alias("p")))
 
 
+PROJECT = SCHEMA.split("projects ARRAY<STRUCT<", 1)[1].removesuffix(">>")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What write_json has written: findings with their project. A malformed line fails."""
+    rows = spark.read.schema(PROJECT).option("mode", "FAILFAST").json(path)
+    return flatten(rows.select(F.struct(*rows.columns).alias("p")))
+
+
+def baseline_counts(findings: DataFrame) -> DataFrame:
+    """SRC18: (fp, n): the fingerprints of a report that was read, as a multiset; one that the report lacks is made anew."""
+    made = fingerprint(*[F.coalesce(c, F.lit("")) for c in ("project_root", "file", "rule_id", "engine")], anchor(F.col("snippet"), F.col("title")))
+    return findings.groupBy(F.coalesce("fingerprint", made).alias("fp")).agg(F.count("*").alias("n"))
+
+
+def report_problems(reports: DataFrame, most_bytes: int = 25_000_000) -> DataFrame:
+    """SRC19: (report_id, problem): why a report (body) isn't taken, or null. Only its shape is looked at: an object with a summary and a list of projects."""
+    v = F.try_parse_json("body")
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
+    why = (
+        F.when(F.col("body").isNull(), "nothing").when(F.octet_length("body") > most_bytes, "too large").when(v.isNull(), "no JSON").when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "no object")
+        .when(~F.startswith(kind("$.summary"), F.lit("OBJECT")), "no summary").when(~F.startswith(kind("$.projects"), F.lit("ARRAY")), "no projects")
+    )
+    return reports.select("report_id", why.alias("problem"))
+
+
 def flatten(rows: DataFrame) -> DataFrame:
     """QS01: project rows `p` to findings."""
     return rows.select(F.col("p.root").alias("project_root"), F.explode("p.findings").alias("f")).select("project_root", "f.*")
@@ -52,6 +78,9 @@ def sarif_results(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine")))
     place = F.struct(F.struct(F.struct(joined_path(F.col("project_root"), F.col("file")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"))
+    # What a baseline comparison has found goes along, where it is there.
+    more = {"fp": F.struct(F.col("fp").alias("primary")).alias("partialFingerprints"), "state": F.col("state").alias("baselineState")} if "fp" in rows.columns else {}
+    result = F.struct(*[result[f].alias(f) for f in ("ruleId", "ruleIndex", "level", "message", "locations")], *[c for name, c in more.items() if name in rows.columns])
     return rows.select("seq", "rule_index", level.alias("level"), F.to_json(result).alias("result"))
 
 

@@ -15,6 +15,17 @@ def label_axes(labels: DataFrame) -> DataFrame:
     return counted.withColumn("rate", ratio(F.col("confirmed"), F.col("n"))["value"])
 
 
+def label_totals(labels: DataFrame, axes: list[str]) -> DataFrame:
+    """AG15: axis, value, n, counts and the rates of false positives and of what was decided; the axis `all` has one value. Null values are a value of their own."""
+    pairs = F.array(F.struct(F.lit("all").alias("axis"), F.lit("all").alias("value")), *[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in axes])
+    per = labels.groupBy(*axes, "label").agg(F.count("*").alias("c"))
+    rows = per.withColumn("p", F.explode(pairs))
+    of = lambda kind: F.sum(F.when(F.col("label") == kind, F.col("c")).otherwise(0)).alias(kind)
+    counted = rows.groupBy("p.axis", "p.value").agg(F.sum("c").alias("n"), *[of(k) for k in ("confirmed", "false_positive", "uncertain")])
+    decided = F.col("confirmed") + F.col("false_positive")
+    return counted.withColumn("false_rate", ratio(F.col("false_positive"), decided)["value"]).withColumn("decided_rate", ratio(decided, F.col("n"))["value"])
+
+
 def evidence_class(needs: float = 0.34, least: int = 5):
     """AG16: what the labels of a rule say of it."""
     c = F.col
@@ -66,6 +77,13 @@ def confusion(answers: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", F.when(c("fp") > c("tp"), "reject").when(c("tp") + c("tn") > 2 * (c("fp") + c("fn")), "accept").otherwise("review"))
 
 
+def confusion_summary(rows: DataFrame) -> DataFrame:
+    """AG22: one row over all queries of `confusion`: sums, precision, recall, and how many queries have each verdict (a map)."""
+    sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "tn", "fn", "abstained")], *[F.count_if(F.col("verdict") == v).alias(v) for v in ("accept", "review", "reject")])
+    found = F.map_filter(F.create_map(*[x for v in ("accept", "review", "reject") for x in (F.lit(v), F.col(v))]), lambda k, n: n > 0)
+    return sums.select("tp", "fp", "tn", "fn", "abstained", ratio(F.col("tp"), F.col("tp") + F.col("fp"))["value"].alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn"))["value"].alias("recall"), found.alias("verdicts"))
+
+
 def evaluation(runs: DataFrame) -> DataFrame:
     """AG23: per query: decided share, duplicates beyond the first of each candidate, latency."""
     per = runs.groupBy("query", "candidate").agg(F.count("*").alias("c"), F.count_if(F.col("decided")).alias("d"), F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.sum("latency").alias("total"))

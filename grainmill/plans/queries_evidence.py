@@ -54,15 +54,21 @@ def retrieved(spark, sf):
     return V.retrieve(relation(spark, sf, "lines").select("doc_id", "line", "text"), hints, ["doc_id"], 12).select("query", "doc_id", "hints", "evidence", "rank")
 
 
-@add("ai09_replies", """SELECT pack, issue, problem FROM (VALUES ('a', 'i1', NULL), ('a', 'i2', 'citation outside'), ('b', 'i3', 'confidence'), ('b', 'i4', 'no citation'), ('c', NULL, 'unreadable')) v(pack, issue, problem)""")
+# Each customer is a pack with a reply of two issues; every eleventh reply can't be read.
+REPLIES = """SELECT c_custkey AS pack, CASE c_custkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'sure' ELSE 'medium' END AS said, c_custkey % 3 AS n, c_custkey % 5 + 1 AS a, c_custkey % 5 + 1 + c_custkey % 3 AS b, 8 + c_custkey % 4 AS c, 11 + c_custkey % 2 AS d,
+  c_custkey % 11 = 0 AS broken, 3 + c_custkey % 4 AS first_end, 10 + c_custkey % 3 AS second_end FROM {customer}"""
+
+
+@add("ai09_replies", f"""WITH r AS ({REPLIES}) SELECT pack, NULL AS issue, 'unreadable' AS problem FROM r WHERE broken
+UNION ALL SELECT pack, 'i1', CASE WHEN said = 'sure' THEN 'confidence' WHEN n = 0 THEN 'no citation' WHEN b > first_end OR (n = 2 AND d > second_end) THEN 'citation outside' END FROM r WHERE NOT broken
+UNION ALL SELECT pack, 'i2', CASE WHEN d > second_end THEN 'citation outside' END FROM r WHERE NOT broken""")
 def replies(spark, sf):
-    bodies = [
-        ("a", '{"issues": [{"id": "i1", "confidence": "high", "citations": [{"file": "f", "a": 2, "b": 3}]}, {"id": "i2", "confidence": "low", "citations": [{"file": "f", "a": 2, "b": 3}, {"file": "f", "a": 9, "b": 12}]}]}'),
-        ("b", '{"issues": [{"id": "i3", "confidence": "sure", "citations": []}, {"id": "i4", "confidence": "low", "citations": []}]}'),
-        ("c", "not json"),
-    ]
-    sent = spark.createDataFrame([("a", "f", 1, 5), ("a", "f", 8, 10), ("b", "f", 1, 2)], "pack string, file string, a int, b int")
-    return V.check_replies(spark.createDataFrame(bodies, "pack string, body string"), sent)
+    rows = spark.sql(REPLIES, customer=relation(spark, sf, "customer"))
+    cite = lambda file, a, b: F.struct(F.lit(file).alias("file"), F.col(a).alias("a"), F.col(b).alias("b"))
+    issue = lambda name, said, cited: F.struct(F.lit(name).alias("id"), F.lit("secret").alias("category"), said.alias("confidence"), cited.alias("citations"))
+    body = F.to_json(F.struct(F.array(issue("i1", F.col("said"), F.slice(F.array(cite("f", "a", "b"), cite("g", "c", "d")), 1, F.col("n").cast("int"))), issue("i2", F.lit("high"), F.array(cite("g", "c", "d")))).alias("issues")))
+    sent = rows.select("pack", F.explode(F.array(F.struct(F.lit("f").alias("file"), F.lit(1).alias("a"), F.col("first_end").alias("b")), F.struct(F.lit("g").alias("file"), F.lit(8).alias("a"), F.col("second_end").alias("b")))).alias("s")).select("pack", "s.*")
+    return V.check_replies(rows.select("pack", F.when(F.col("broken"), F.substring(body, 1, 20)).otherwise(body).alias("body")), sent)
 
 
 @add("ai07_verdicts", """SELECT c_custkey AS issue, CASE WHEN c_custkey % 4 = 0 THEN 'insufficient' WHEN c_custkey % 3 > 0 AND c_custkey % 5 = 0 THEN 'unsupported' WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN 'supported' ELSE 'insufficient' END AS verdict,

@@ -147,7 +147,7 @@ def ratios(spark, sf):
     return relation(spark, sf, "units").groupBy("stratum").agg(r).select("stratum", "r.*")
 
 
-@add("sc24_utf8_cut")
+@add("sc24_utf8_cut", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN substr(text, 1, list_max(list_filter(range(0, 102), lambda k: strlen(substr(text, 1, k)) <= 101))) END AS cut FROM documents")
 def utf8_cuts(spark, sf):
     return relation(spark, sf, "documents").select("doc_id", S.utf8_cut(F.col("text"), F.lit(101)).alias("cut"))
 

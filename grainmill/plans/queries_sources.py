@@ -52,6 +52,7 @@ SOURCES = {
         ("public void a{n}(String s) {\n  if (s == \"x\") { go(); }\n}\n", [("J001", 1, "", ""), ("complexity", 0, "a{n}", "2"), ("unit", 0, "a{n}", "{e}2")]),
         ("public void b{n}() {\n  Scanner s = new Scanner(in);\n  try (Scanner t = new Scanner(in)) { go(t); }\n}\n", [("J002", 1, "Scanner", ""), ("complexity", 0, "b{n}", "1"), ("unit", 0, "b{n}", "{e}3")]),
         ("public void c{n}() {\n  try { go(); } catch (Exception e) { }\n}\n", [("P001", 1, "", ""), ("complexity", 0, "c{n}", "2"), ("unit", 0, "c{n}", "{e}2")]),
+        ("public void e{n}(String t) {\n  Runtime.getRuntime().exec(\"rm \" + t);\n  Runtime.getRuntime().exec(\"ls\");\n}\n", [("S:java-runtime-exec-concat", 1, "", ""), ("complexity", 0, "e{n}", "1"), ("unit", 0, "e{n}", "{e}3")]),
         ("public void d{n}(String t) {\n  run(\"delete from t where a = \" + t);\n  // FIXME {n}\n}\n", [("P007", 2, "", ""), ("comment", 2, "", "// FIXME {n}"), ("complexity", 0, "d{n}", "1"), ("unit", 0, "d{n}", "{e}3")]),
     ]),
     "csharp": (".cs", "", [
@@ -60,6 +61,7 @@ SOURCES = {
         ("public int B{n}() {\n  return LoadAsync(1).Result;\n}\n", [("D002", 1, "", ""), ("complexity", 0, "B{n}", "1"), ("unit", 0, "B{n}", "{e}2")]),
         ("public void C{n}(string t) {\n  db.FromSqlRaw($\"select a from {t}\");\n}\n", [("complexity", 0, "C{n}", "1"), ("unit", 0, "C{n}", "{e}2")]),
         ("public void E{n}(string t) {\n  cmd.Execute(\"delete from t where a = \" + t);\n  app.MapGet(\"/x/{n}\", go);\n}\n", [("endpoint", 2, "GET", "/x/{n}"), ("complexity", 0, "E{n}", "1"), ("unit", 0, "E{n}", "{e}3")]),
+        ("public int G{n}() {\n  return LoadAsync(f(1), g(h(2))).Result + s.Result;\n}\n", [("D002", 1, "", ""), ("complexity", 0, "G{n}", "1"), ("unit", 0, "G{n}", "{e}2")]),
         ("public async void F{n}(object sender, EventArgs e) {\n  Go();\n}\n", [("complexity", 0, "F{n}", "1"), ("unit", 0, "F{n}", "{e}2")]),
     ]),
     "client": (".tsx", "'use client'\n", [
@@ -163,7 +165,7 @@ of_kind("p007_incomplete", ["P007"], ["rel", "line"])
 for _rule in ("R006", "N002", "N003", "N004", "N005", "J001", "J002", "D001", "D002"):
     of_kind(f"{_rule.lower()}_hits", [_rule], ["rel", "line", "name"])
 of_kind("n001_in_code", ["N001"], ["rel", "line", "name"])
-of_kind("s_rules", ["S:weak-hash", "S:python-eval-input", "S:python-pickle-load", "S:js-child-process-concat"], ["rel", "kind", "line", "name"])
+of_kind("s_rules", ["S:weak-hash", "S:python-eval-input", "S:python-pickle-load", "S:js-child-process-concat", "S:java-runtime-exec-concat"], ["rel", "kind", "line", "name"])
 
 
 @add("ext02_lines", f"SELECT rel, CAST(any_value(l) + sum(n) AS BIGINT) AS n_lines FROM (SELECT rel, length(head) - length(replace(head, chr(10), '')) AS l, n_lines AS n FROM ({PLACED})) GROUP BY rel")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.plans import queries_evidence, queries_flow, queries_graphs, queries_joins, queries_records, queries_report, queries_scalars, queries_scores, queries_sources, queries_stores, queries_text
+from grainmill.plans import queries_evidence, queries_flow, queries_graphs, queries_joins, queries_records, queries_report, queries_rounds, queries_scalars, queries_scores, queries_sources, queries_stores, queries_text
 
-MODULES = (queries_scalars, queries_joins, queries_scores, queries_graphs, queries_text, queries_report, queries_evidence, queries_sources, queries_flow, queries_stores, queries_records)
+MODULES = (queries_scalars, queries_joins, queries_scores, queries_graphs, queries_text, queries_report, queries_evidence, queries_sources, queries_flow, queries_stores, queries_rounds, queries_records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
