@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 def match(current: DataFrame, prior: DataFrame) -> DataFrame:
     """WN01: current findings (fp, seq, …) with `state`: the k-th copy of a fingerprint is unchanged if the baseline has k copies.
 
-    Copies are numbered by a window over the fingerprint; only fingerprints of the baseline's counts are joined.
+    Counts settle the fingerprints that the baseline lacks or has often enough; only the copies of the others are numbered.
     """
     had = prior.groupBy("fp").agg(F.count("*").alias("__had"))
+    counts = current.groupBy("fp").agg(F.count("*").alias("__now")).join(had, "fp")
+    rows = current.join(counts, "fp", "left")
+    settled = rows.filter("__had IS NULL OR __had >= __now").withColumn("state", F.when(F.col("__had").isNull(), "new").otherwise("unchanged"))
     k = F.row_number().over(Window.partitionBy("fp").orderBy("seq"))
-    rows = current.withColumn("__k", k).join(had, "fp", "left")
-    return rows.withColumn("state", F.when(F.col("__k") <= F.coalesce("__had", F.lit(0)), "unchanged").otherwise("new")).drop("__k", "__had")
+    others = rows.filter("__had < __now").withColumn("state", F.when(k <= F.col("__had"), "unchanged").otherwise("new"))
+    return settled.unionByName(others).drop("__had", "__now")
 
 
 def summary(current: DataFrame, prior: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.operators.graphs import _cut
+
 TEXT = ("title", "file", "rule_id", "snippet", "project_root", "language", "engine")
 TIES = ("project_root", "file", "line", "rule_id", "seq")
 
@@ -45,6 +47,7 @@ def ordered(rows: DataFrame, spec: FilterSpec) -> DataFrame:
 
 def page(rows: DataFrame, spec: FilterSpec) -> DataFrame:
     """WN10: one page; a number out of range is moved to the nearest page. The plan takes the top rows, it doesn't sort them all."""
+    rows = _cut(rows)  # counted and then read: the filters run once
     pages = -(-rows.count() // spec.size)
     at = min(max(1, spec.page), max(1, pages))
     return ordered(rows, spec).limit(at * spec.size).offset((at - 1) * spec.size)

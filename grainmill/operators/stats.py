@@ -60,12 +60,15 @@ def inclusion(population: DataFrame, sample: DataFrame, keys: list[str]) -> Data
 
 
 def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """AG20: n, least, upper median s[n//2], p95 s[int(.95 n)], greatest. Ranks come from a window, so that no group is gathered in one row."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.withColumn("__k", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    at = lambda k: F.max(F.when(F.col("__k") == k, F.col(value)))
-    return ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("least"), at(F.floor(F.col("__n") / 2)).alias("median"), at(F.least(F.floor(F.col("__n") * 0.95), F.col("__n") - 1)).alias("p95"), F.max(value).alias("greatest")
+    """AG20: n, least, upper median s[n//2], p95 s[int(.95 n)], greatest. Values are counted first, so that places are running sums over distinct values."""
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last()))
+    total = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    placed = counted.withColumn("__to", upto).join(total, keys)
+    # The value whose copies cover a place.
+    at = lambda k: F.min(F.when(F.col("__to") > k, F.col(value)))
+    return placed.groupBy(*keys).agg(
+        F.max("__n").alias("n"), F.min(value).alias("least"), at(F.floor(F.col("__n") / 2)).alias("median"), at(F.least(F.floor(F.col("__n") * 0.95), F.col("__n") - 1)).alias("p95"), F.max(value).alias("greatest")
     )
 
 

@@ -334,10 +334,10 @@ def local_names(spark, sf):
     return files.local_names(own)
 
 
-@add("ext08_frameworks", """WITH d AS (SELECT DISTINCT concat('p', p_partkey % 50) AS project_root, CASE p_partkey % 4 WHEN 0 THEN 'react' WHEN 1 THEN 'next' ELSE 'left-pad' END AS name FROM part WHERE p_partkey % 7 < 3), f AS (SELECT DISTINCT concat('p', s_suppkey % 50) AS project_root FROM supplier WHERE s_suppkey % 3 = 0)
+@add("ext08_frameworks", """WITH d AS (SELECT DISTINCT concat('p', p_partkey % 50) AS project_root, CASE p_partkey % 4 WHEN 0 THEN 'react' WHEN 1 THEN 'next' ELSE 'left-pad' END AS name FROM part), f AS (SELECT DISTINCT concat('p', s_suppkey % 50) AS project_root FROM supplier WHERE s_suppkey % 3 = 0)
 SELECT project_root, name AS framework FROM d WHERE name = 'react' OR (name = 'next' AND project_root IN (SELECT project_root FROM f))""")
 def framework_rows(spark, sf):
-    declared = relation(spark, sf, "part").filter("p_partkey % 7 < 3").select(F.expr("concat('p', p_partkey % 50)").alias("project_root"), F.expr("CASE p_partkey % 4 WHEN 0 THEN 'react' WHEN 1 THEN 'next' ELSE 'left-pad' END").alias("name"))
+    declared = relation(spark, sf, "part").select(F.expr("concat('p', p_partkey % 50)").alias("project_root"), F.expr("CASE p_partkey % 4 WHEN 0 THEN 'react' WHEN 1 THEN 'next' ELSE 'left-pad' END").alias("name"))
     own = relation(spark, sf, "supplier").select(F.expr("concat('p', s_suppkey % 50)").alias("root"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'src/app/x.tsx' ELSE 'src/lib/x.tsx' END").alias("rel"))
     return files.frameworks(declared, own)
 
