@@ -220,16 +220,16 @@ MANIFESTS = {
     "tsconfig": ("tsconfig.json", '{ // "note"\n"compilerOptions": {"paths": {', ", ", "}}}", [('"@a{n}/*": ["src/a{n}/*"]', [])]),
     "env": (".env.local", "", "\n", "\n", [("NEXT_PUBLIC_A{n}=x=y", []), ("no assignment {n}", [])]),
 }
-MANIFEST_ROWS = "SELECT p_partkey, p_partkey % 40 AS proj, m.lang, CAST((p_partkey // 40) % m.n AS INT) AS k, concat('proj', p_partkey % 40, '/', m.file) AS rel FROM part, (VALUES {0}) m(lang, file, n)".replace("{0}", values((name, own[0], len(own[4])) for name, own in MANIFESTS.items()))
+MANIFEST_ROWS = "SELECT p_partkey, p_partkey // 50 AS proj, m.lang, CAST(p_partkey % m.n AS INT) AS k, concat('proj', p_partkey // 50, '/', m.file) AS rel FROM part, (VALUES {0}) m(lang, file, n)".replace("{0}", values((name, own[0], len(own[4])) for name, own in MANIFESTS.items()))
 LATE["<<DECLARED>>"] = values((lang, k, *d) for lang, own in MANIFESTS.items() for k, (_, found) in enumerate(own[4]) for d in found)
 
 
 def manifest_texts(spark, sf) -> DataFrame:
-    """rel, lang, text: one manifest of each kind in each project."""
+    """rel, lang, text: one manifest of each kind in each project of fifty parts, so that projects grow with the table and files don't."""
     kinds = spark.createDataFrame([(name, own[0], len(own[4]), *own[1:4]) for name, own in MANIFESTS.items()], "lang string, file string, n int, head string, sep string, tail string")
     parts = relation(spark, sf, "part").select("p_partkey")
     # Eleven kinds of manifest: each part is a line in one of each.
-    rows = parts.crossJoin(F.broadcast(kinds.select("lang", "file", "n"))).select("p_partkey", "lang", (F.floor(F.col("p_partkey") / 40) % F.col("n")).cast("int").alias("k"), F.concat(F.lit("proj"), F.col("p_partkey") % 40, F.lit("/"), "file").alias("rel"))
+    rows = parts.crossJoin(F.broadcast(kinds.select("lang", "file", "n"))).select("p_partkey", "lang", (F.col("p_partkey") % F.col("n")).cast("int").alias("k"), F.concat(F.lit("proj"), F.floor(F.col("p_partkey") / 50), F.lit("/"), "file").alias("rel"))
     pieces = spark.createDataFrame([(name, k, text) for name, own in MANIFESTS.items() for k, (text, _) in enumerate(own[4])], "lang string, k int, text string")
     whole = joined(rows, pieces, "p_partkey").join(F.broadcast(kinds.select("lang", "head", "sep", "tail")), "lang")
     return whole.select("rel", "lang", F.concat("head", F.expr("array_join(parts, sep)"), "tail").alias("text"))
