@@ -150,7 +150,10 @@ def library(spark, sf):
     return W.top_per(relation(spark, sf, "orders").filter("o_orderstatus <> 'P'"), ["o_custkey"], [F.desc("o_orderkey")], 10).select("o_custkey", "o_orderkey")
 
 
-@add("sc05_tree_redaction", "SELECT seq, 'token=***' AS title, snippet FROM {findings}")
+@add("sc05_tree_redaction", r"""SELECT seq, concat('see token=***&line=', line, ' of ', file) AS title,
+CASE seq % 3 WHEN 0 THEN concat('password: "***" # ', rule_id) WHEN 1 THEN concat('https://***@host', line, '/x') ELSE snippet END AS snippet FROM {findings}""")
 def tree_redaction(spark, sf):
-    rows = findings(spark, sf).withColumn("title", F.concat(F.lit("token="), "title").substr(1, 9))
-    return rows.withColumn("title", F.regexp_replace("title", " .*", "")).select("seq", *S.redact_struct(["title", "snippet"]))
+    """Values behind words, in quotes and in addresses go; what stands around them stays."""
+    rows = findings(spark, sf).withColumn("title", F.expr("concat('see token=s', seq, '&line=', line, ' of ', file)"))
+    rows = rows.withColumn("snippet", F.expr("""CASE seq % 3 WHEN 0 THEN concat('password: "p', seq, '" # ', rule_id) WHEN 1 THEN concat('https://u', seq, ':p@host', line, '/x') ELSE snippet END"""))
+    return rows.select("seq", *S.redact_struct(["title", "snippet"]))

@@ -25,11 +25,13 @@ def add(key, sql=None):
     return keep
 
 
-@add("snk01_report_json", f"SELECT p.project_root AS root, count(f.seq) AS n, coalesce(min(f.line), -1) AS first_line FROM {{packages}} p LEFT JOIN {PACKED} f USING (project_root) GROUP BY 1")
+@add("snk01_report_json", f"SELECT p.project_root AS root, count(f.seq) AS n, coalesce(min(f.line), -1) AS first_line, coalesce(string_agg(concat_ws(':', f.file, f.line, f.rule_id, f.level), ' ' ORDER BY f.file, f.line, f.rule_id, f.level), '') AS listed FROM {{packages}} p LEFT JOIN {PACKED} f USING (project_root) GROUP BY 1")
 def report_json(spark, sf):
     """Nested by project and taken apart again."""
     rows = P.nested(packed(spark, sf), scores(spark, sf))
-    return rows.select("root", F.size("findings").cast("long").alias("n"), F.coalesce(F.array_min(F.transform("findings", lambda f: f["line"])), F.lit(-1)).alias("first_line"))
+    own = F.array_sort(F.transform("findings", lambda f: F.struct(f["file"].alias("a"), f["line"].alias("b"), f["rule_id"].alias("c"), f["level"].alias("d"))))
+    listed = F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["a"], x["b"].cast("string"), x["c"], x["d"])), " ")
+    return rows.select("root", F.size("findings").cast("long").alias("n"), F.coalesce(F.array_min(F.transform("findings", lambda f: f["line"])), F.lit(-1)).alias("first_line"), listed.alias("listed"))
 
 
 @add("snk03_sarif", f"""WITH c AS (SELECT 'H001' AS r UNION ALL SELECT 'P002' UNION ALL SELECT 'Z999'), k AS (SELECT r, 0 AS known FROM c UNION ALL SELECT DISTINCT rule_id, 1 FROM {{findings}} WHERE rule_id NOT IN (SELECT r FROM c)), i AS (SELECT r, CAST(row_number() OVER (ORDER BY known, r) - 1 AS INT) AS rule_index FROM k)
