@@ -46,7 +46,6 @@ BEGINS_OPEN = frozenset(". ?. , ) ] : ? + - * / % = == === != !== > <= >= && ||
 TYPES = frozenset("class interface struct enum record namespace".split())
 NOT_NAMES = frozenset("if for foreach while switch do try catch else finally return new await async function const let var final throw typeof yield case default in of import export from as void delete instanceof using lock this super".split()) | TYPES
 EFFECTS = frozenset(("useEffect", "useLayoutEffect"))
-HOOK = re.compile(r"use[A-Z]")
 
 
 class Around(NamedTuple):
