@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.operators.graphs import two_contexts
+from grainmill.operators.graphs import _cut, two_contexts
 from grainmill.operators.ownership import resolve
 
 # Endings of modules in the order in which they are tried, and names of files that the router enters.
@@ -59,6 +59,8 @@ def context_findings(facts: DataFrame, files: DataFrame, aliases: DataFrame) ->
 
     facts: rel, kind, line, name as the extraction gives them; files: rel, root; aliases: root, prefix, target.
     """
+    # Four questions are asked of the facts; files are parsed for the first alone.
+    facts = _cut(facts.filter(F.col("kind").isin("edge", "client", "N003") | F.startswith("kind", F.lit("if-client "))))
     edges = module_edges(facts.filter("kind = 'edge'").select("rel", F.col("name").alias("spec")).join(files, "rel"), files, aliases)
     marked = facts.filter("kind = 'client'").select(F.col("rel").alias("node"))
     reached = two_contexts(route_files(files), edges, marked)

@@ -72,3 +72,27 @@ def test_a_hook_called_in_python_is_no_error(spark):
 @pytest.mark.parametrize("text, said", [("select a from b", True), ("selected from", False), ("select from", False), ("SELECT\na\nFROM\nb", True), ("x from select y", False), ("update t set a", True), ("update  set", False), ("insert  into", True), ("delete from", True), ("undelete from", False), ("select " * 50_000, False)])
 def test_words_of_a_statement(text, said):
     assert flow._says_sql(text) is said
+
+
+@pytest.mark.parametrize("rounds", [3, 9])
+def test_files_are_parsed_once_however_long_the_graph(spark, rounds):
+    """Before, each round of the graph parsed all files again."""
+    from grainmill.operators import dependencies, modules
+
+    counted = spark.sparkContext.accumulator(0)
+
+    def once(got):
+        for b in got:
+            counted.add(b.num_rows)
+            yield b
+
+    kinds = [(f"p/f{k}.ts", "N003", 1, "useState", "") for k in range(rounds)] + [(f"p/f{k}.ts", "edge", 1, f"./f{k + 1}", "") for k in range(rounds - 1)]
+    found = spark.createDataFrame(kinds, facts.SCHEMA).mapInArrow(once, facts.SCHEMA)
+    steps = spark.createDataFrame([(f"p/f{k}.ts", f"p/f{k + 1}.ts") for k in range(rounds - 1)], "src string, dst string")
+    assert dependencies.server_violations(found, spark.createDataFrame([("p/f0.ts",)], "node string"), steps).count() == rounds
+    assert counted.value == len(kinds)
+    files = spark.createDataFrame([(f"p/f{k}.ts", "p") for k in range(rounds)] + [("p/app/page.ts", "p")], "rel string, root string")
+    more = spark.createDataFrame([*kinds, ("p/app/page.ts", "edge", 1, "../f0", "")], facts.SCHEMA).mapInArrow(once, facts.SCHEMA)
+    counted.value = 0
+    assert modules.context_findings(more, files, spark.createDataFrame([], "root string, prefix string, target string")).count() == rounds
+    assert counted.value == len(kinds) + 1
